@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .idfile import op4_token_ids
+from .jaccard import op5_jaccard
 from .media import op3_media
 from .packing import op9_packing
 from .pii import op10_pii
+from .quality import op7_quality
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op3_media": op3_media,
     "op4_token_ids": op4_token_ids,
+    "op5_jaccard": op5_jaccard,
+    "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
