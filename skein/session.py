@@ -25,9 +25,14 @@ def build_session(name: str = "skein", cores: str = "*", partitions: int = 8, **
     return SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=conf).getOrCreate()
 
 
+#: Rows that pass to a Python worker at once; texts are long, so fewer than Spark's default.
+BATCH_ROWS = 2000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds their batches."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_skein_shipped", False):
         return
     root = Path(__file__).resolve().parent
