@@ -19,8 +19,9 @@ reaches the threshold. The steps, each exact:
    search. Lists hold only leaders: a document linked to a leader joins it, and as
    Jaccard distance is a metric, the members of leaders beyond twice the
    threshold distance can't be linked to it, so a dense group costs little more than
-   one search a document. A block with too many shingles for one task is cut into parts, and
-   each pair of parts is a task.
+   one search a document. A block with too many shingles for one task is cut by
+   size into bands, of which only neighbours can be linked, and a band that is
+   still too large into parts, of which each pair is a task.
 5. Links become components.
 
 Null texts and texts without words have the empty set and link with nothing.
@@ -49,9 +50,9 @@ from .lexing import chunks, plain_words
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that are in one task of step 4 at most (a larger single document aside).
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 500_000
 #: Prefix hashes that a task gathers before it sends them on.
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 #: Of the overlap, the share that step 2 asks the prefixes for.
 PREFIX_SHARE = 0.3
 _SCALE = 2000
@@ -324,8 +325,7 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     _, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[back] > 1  # a shingle of one set only adds to no overlap
     cuts = np.cumsum([0, *sizes])
-    tokens = [back[a:b][shared[a:b]].tolist() for a, b in zip(cuts, cuts[1:])]
-    bags = [frozenset(t) for t in tokens]
+    tokens = [back[a:b][shared[a:b]] for a, b in zip(cuts, cuts[1:])]
     root = list(range(len(ids)))
 
     def find(i):
@@ -344,7 +344,8 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     for i in range(len(ids)):
         if not sizes[i]:
             continue
-        near = [(o, j) for j, o in lists.search(tokens[i], max(1, _share(sizes[i], loose))) if reaches(o, i, j, loose)]
+        mine = tokens[i].tolist()
+        near = [(o, j) for j, o in lists.search(mine, max(1, _share(sizes[i], loose))) if reaches(o, i, j, loose)]
         near.sort(key=lambda x: (-x[0], x[1]))
         home = None
         for o, j in near:
@@ -356,12 +357,12 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
         for _, j in near:
             if find(i) != find(j):
                 for k in members[j]:
-                    if 100 * min(sizes[i], sizes[k]) >= percent * max(sizes[i], sizes[k]) and reaches(len(bags[i] & bags[k]), i, k, percent):
+                    if 100 * min(sizes[i], sizes[k]) >= percent * max(sizes[i], sizes[k]) and reaches(len(np.intersect1d(tokens[i], tokens[k], assume_unique=True)), i, k, percent):
                         tie(i, k)
                         break
         if home is None:
             members[i] = []
-            lists.add(i, tokens[i])
+            lists.add(i, mine)
         else:
             members[home].append(i)
     return links
@@ -370,11 +371,17 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
 def links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     """(a, b): links within blocks, enough to connect all that are linked."""
     spark = sets.sparkSession
-    rows = sets.join(blocks, "doc_id")
-    parts = rows.groupBy("block").agg(F.sum("n").alias("total")).select("block", F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int").alias("parts"))
-    rows = rows.join(parts, "block").withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    sizes = sets.select("doc_id", "n").join(blocks, "doc_id")
+    # linked sets lie in one band of sizes or in neighbouring ones, as a band is a little wider than they may differ
+    band = F.floor(F.log("n") / math.log(100.01 / percent)).cast("int")
+    large = sizes.groupBy("block").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
+    bands = F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))
+    sizes = sizes.join(large, "block").select("doc_id", "n", "block", F.explode(bands).alias("band"))
+    parts = sizes.groupBy("block", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
+    sizes = sizes.join(parts, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"))))
-    rows = rows.select("block", pair.alias("pair"), "doc_id", "hashes").select("block", "pair.i", "pair.j", "doc_id", "hashes")
+    tasks = sizes.select("doc_id", F.xxhash64("block", "band").alias("block"), pair.alias("pair")).select("doc_id", "block", "pair.i", "pair.j")
+    rows = tasks.join(sets, "doc_id").select("block", "i", "j", "doc_id", "hashes")
 
     def run(batches):
         now, ids, sets = None, [], []
