@@ -27,14 +27,11 @@ TABLE = 0x300
 REMEMBERED = 400_000
 
 
-class WordBpe:
-    """Encoder for one vocabulary file; use `load`."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+class Pieces:
+    """Ids of distinct pieces of text, each encoded by the library once and then remembered."""
 
-        self.tok = Tokenizer.from_file(path)
-        self.exact = self._checked()
+    def __init__(self, tok):
+        self.tok = tok
         self.known: dict[bytes, int] = {}
         self._reset()
 
@@ -44,6 +41,44 @@ class WordBpe:
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
 
+    def spelled(self, word: bytes) -> str:
+        """The piece as the library's model is given it."""
+        return word.decode()
+
+    def _learn(self, words: list[bytes]) -> None:
+        enc = self.tok.encode(list(map(self.spelled, words)), is_pretokenized=True, add_special_tokens=False)
+        ids = np.asarray(enc.ids, np.uint32)
+        count = np.bincount(np.asarray([w for w in enc.word_ids], np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
+        base, n = len(self.flat), len(self.first)
+        self.flat = np.concatenate([self.flat, ids])
+        self.first = np.concatenate([self.first, base + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def ids(self, codes: np.ndarray, values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, given as codes into distinct values, and where each piece's ids start."""
+        if len(self.known) > REMEMBERED:
+            self._reset()
+        words = values.to_pylist()
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if fresh:
+            self._learn(fresh)
+        place = np.fromiter((known[w] for w in words), np.int64, len(words))
+        of_word = place[codes] if len(codes) else np.zeros(0, np.int64)
+        count = self.count[of_word]
+        return self.flat[spread(count, self.first[of_word])], np.concatenate([[0], np.cumsum(count)])
+
+
+class WordBpe(Pieces):
+    """Encoder for one vocabulary file; use `load`."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(Tokenizer.from_file(path))
+        self.exact = self._checked()
+
     def _checked(self) -> bool:
         """Fills the tables; False if this vocabulary doesn't split by the classes used here."""
         norm, pre = self.tok.normalizer, self.tok.pre_tokenizer
@@ -91,16 +126,6 @@ class WordBpe:
         codes, values = distinct_words(words_array(data, kept, lengths))
         return codes, values, np.searchsorted(starts, off)
 
-    def _learn(self, words: list[bytes]) -> None:
-        enc = self.tok.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.asarray(enc.ids, np.uint32)
-        count = np.bincount(np.asarray([w for w in enc.word_ids], np.int64), minlength=len(words)) if len(ids) else np.zeros(len(words), np.int64)
-        base, n = len(self.flat), len(self.first)
-        self.flat = np.concatenate([self.flat, ids])
-        self.first = np.concatenate([self.first, base + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.known.update(zip(words, range(n, n + len(words))))
-
     def _whole(self, texts: pa.Array) -> np.ndarray:
         """Texts that only the library can encode exactly."""
         data, off = buffer_of(texts)
@@ -127,18 +152,7 @@ class WordBpe:
             mask[whole] = True
             texts = pc.if_else(pa.array(mask), pa.scalar("", texts.type), texts)
         codes, values, word_off = self._pieces(texts)
-        if len(self.known) > REMEMBERED:
-            self._reset()
-        words = values.to_pylist()
-        known = self.known
-        fresh = [w for w in words if w not in known]
-        if fresh:
-            self._learn(fresh)
-        place = np.fromiter((known[w] for w in words), np.int64, len(words))
-        of_word = place[codes] if len(codes) else np.zeros(0, np.int64)
-        count = self.count[of_word]
-        ids = self.flat[spread(count, self.first[of_word])]
-        ends = np.concatenate([[0], np.cumsum(count)])
+        ids, ends = self.ids(codes, values)
         off = ends[word_off]
         if not slow:
             return ids, off
