@@ -20,6 +20,7 @@ def build_session(name: str = "skein", cores: str = "*", partitions: int = 8, **
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | more
     return SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=conf).getOrCreate()
