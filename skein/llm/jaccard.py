@@ -50,7 +50,7 @@ from .lexing import chunks, plain_words
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that are in one task of step 4 at most (a larger single document aside).
-BLOCK_SHINGLES = 500_000
+BLOCK_SHINGLES = 2_000_000
 #: Prefix hashes that a task gathers before it sends them on.
 FLUSH = 1_000_000
 #: Of the overlap, the share that step 2 asks the prefixes for.
@@ -142,7 +142,8 @@ ENTRY, INFO, COUNT, NAMELESS, EDGE = range(5)
 
 
 def prefix_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, fp, hits): one row with n and the digest of the set for each row of docs, and rows with counts of shared prefix hashes."""
+    """One row (doc_id, n, fp) for each row of docs, and rows (slot, ids, hits) with packed counts of shared prefix hashes."""
+    slots = width(docs.sparkSession)
     buckets = min(1 << 16, 4 * width(docs.sparkSession))
 
     def send(batches):
@@ -195,21 +196,29 @@ def prefix_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
         if held:
             yield from flushed()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("hits", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("slot", pa.int32()), ("ids", pa.binary()), ("hits", pa.binary())])
 
-    def rows(ids=None, n=None, fp=None, hits=None):
-        size = len(next(x for x in (ids, n) if x is not None))
-        cols = [pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for x, f in zip((ids, n, fp, hits), schema)]
+    def rows(*given):
+        size = len(next(x for x in given if x is not None))
+        cols = [pa.nulls(size, f.type) if x is None else pa.array(x, f.type) for x, f in zip((*given, *[None] * (len(schema) - len(given))), schema)]
         return pa.RecordBatch.from_arrays(cols, schema=schema)
 
+    def packed(counted):
+        ids, hits = _summed(np.concatenate([x for x, _ in counted]), np.concatenate([x for _, x in counted]))
+        slot = ids % slots
+        for k in np.unique(slot).tolist():
+            yield rows(None, None, None, [k], [ids[slot == k].tobytes()], [hits[slot == k].tobytes()])
+
     def count(batches):
+        counted, waiting = [], 0
         for _, held in _bucketed(batches):
             for a, b, c in held[INFO]:
                 yield rows(np.frombuffer(a, np.int64), np.frombuffer(b, np.int64), [c[i : i + 16] for i in range(0, len(c), 16)])
             for a, _, _ in held[NAMELESS]:
-                yield rows(n=np.frombuffer(a, np.int64))
+                yield rows(None, np.frombuffer(a, np.int64))
             for a, b, _ in held[COUNT]:
-                yield rows(np.frombuffer(a, np.int64), hits=np.frombuffer(b, np.int64))
+                counted.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+                waiting += len(counted[-1][0])
             if held[ENTRY]:
                 own = _joined(held[ENTRY], 0, np.uint64)
                 keys = np.concatenate([own, _joined(held[ENTRY], 2, np.uint64)])
@@ -218,11 +227,44 @@ def prefix_counts(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 seen = np.zeros(len(keys), bool)
                 seen[order] = np.append(near, False) | np.append(False, near) if len(keys) else False
                 ids, hits = np.unique(_joined(held[ENTRY], 1, np.int64)[seen[: len(own)]], return_counts=True)
-                if len(ids):
-                    yield rows(ids, hits=hits)
+                counted.append((ids, hits))
+                waiting += len(ids)
+            if waiting > FLUSH:
+                yield from packed(counted)
+                counted, waiting = [], 0
+        if waiting:
+            yield from packed(counted)
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return _dealt(texts.mapInArrow(send, _BLOBS)).mapInArrow(count, "doc_id bigint, n bigint, fp binary, hits bigint")
+    return _dealt(texts.mapInArrow(send, _BLOBS)).mapInArrow(count, "doc_id bigint, n bigint, fp binary, slot int, ids binary, hits binary")
+
+
+def _summed(ids: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sum of each one's hits."""
+    once, back = np.unique(ids, return_inverse=True)
+    return once, np.bincount(back, hits, len(once)).astype(np.int64)
+
+
+def hit_sums(packed: DataFrame) -> DataFrame:
+    """(doc_id, hits) of the packed counts (slot, ids, hits)."""
+
+    def done(held):
+        ids, hits = _summed(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hits)], ["doc_id", "hits"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for slot, ids, hits in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if slot != now and held:
+                    yield done(held)
+                    held = []
+                now = slot
+                held.append((np.frombuffer(ids, np.int64), np.frombuffer(hits, np.int64)))
+        if held:
+            yield done(held)
+
+    return packed.repartition(width(packed.sparkSession), "slot").sortWithinPartitions("slot").mapInArrow(run, "doc_id bigint, hits bigint")
 
 
 def block_edges(sets: DataFrame, percent: int) -> DataFrame:
@@ -279,6 +321,20 @@ def block_edges(sets: DataFrame, percent: int) -> DataFrame:
     return _dealt(sets.select("doc_id", "n", "hashes").mapInArrow(send, _BLOBS)).mapInArrow(tie, "a bigint, b bigint").distinct()
 
 
+#: From so many postings on, short lists are merged by one sort of all of them instead of with a heap.
+HEAPED = 1000
+
+
+def merged(lists: list[list[int]]):
+    """(number, times) of the numbers in ascending lists."""
+    if sum(map(len, lists)) <= HEAPED:
+        for number, times in groupby(heapq.merge(*lists)):
+            yield number, sum(1 for _ in times)
+    else:
+        number, times = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_counts=True)
+        yield from zip(number.tolist(), times.tolist())
+
+
 class Lists:
     """Inverted lists from shingle to ascending numbers of sets, searched by DivideSkip."""
 
@@ -302,8 +358,7 @@ class Lists:
         long = min(least - 1, int(least / (self.MU * math.log2(len(found[-1]) + 1) + 1)), sum(len(x) > 1 for x in found))
         short, skipped = found[: len(found) - long], found[len(found) - long :]
         out = []
-        for number, times in groupby(heapq.merge(*short)):
-            overlap = sum(1 for _ in times)
+        for number, overlap in merged(short):
             if overlap < least - long:
                 continue
             left = long
@@ -414,7 +469,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     ship(docs.sparkSession)
     counted = settled(prefix_counts(docs, size, percent), "shingle-counts")
     info = counted.where("n is not null").select("doc_id", "n", "fp")
-    hits = counted.where("hits is not null").groupBy("doc_id").agg(F.sum("hits").alias("hits"))
+    hits = hit_sums(counted.where("slot is not null").select("slot", "ids", "hits"))
     classes = info.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
     partner = F.ceil(F.col("n") * percent / 100)  # the least size of a linked set
     need = F.greatest(F.lit(1), F.floor(PREFIX_SHARE * partner))

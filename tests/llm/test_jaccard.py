@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from skein.llm import components as components_module
 from skein.llm import jaccard
 from skein.llm.components import components
 
@@ -99,7 +101,9 @@ def test_edge_rows(spark):
     assert jaccard.join(df.limit(0)).count() == 0
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("bound", [1, 30, 500_000])
+def test_components_of_a_chain(spark, monkeypatch, bound):
+    monkeypatch.setattr(components_module, "CONTRACTED", bound)
     df = spark.range(60).selectExpr("id as a", "id + 1 as b").union(spark.range(100, 103).selectExpr("id as a", "id as b")).union(spark.range(5).selectExpr("200 as a", "201 + id as b"))
     found = {r.node: r.component for r in components(df).collect()}
     assert found == {i: 0 for i in range(61)} | {i: 200 for i in range(200, 206)}
