@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import agreement_word, chance_f1, f1, kappa, mcc, ratio, wilson
-from ..operators import ranks, resample
+from ..operators import probe, ranks, resample, vectors
 from ..session import table as t
 
 _CELLS = "WITH x AS (SELECT d.*, l.quality AS y, l.toxic AS z, (n_chars > 1500)::int AS p FROM documents d JOIN labels l USING (doc_id)), c AS (SELECT lang, count(*) FILTER (WHERE y=1 AND p=1) AS tp, count(*) FILTER (WHERE y=0 AND p=1) AS fp, count(*) FILTER (WHERE y=1 AND p=0) AS fn, count(*) FILTER (WHERE y=0 AND p=0) AS tn FROM x GROUP BY 1)"
@@ -158,3 +158,30 @@ def _(spark, d):
     n = o.count()
     r = ranks.average_rank(ranks.average_rank(o, "o_totalprice", into="a"), "o_custkey", into="b")
     return r.select("o_orderkey", F.round((F.col("a") / n + F.col("b") / n) / 2, 9).alias("fused"))
+
+
+@query(
+    "sta_participation",
+    "WITH e AS (SELECT vec_id, unnest(embedding)::double AS v, generate_subscripts(embedding,1) AS i FROM embeddings), c AS (SELECT vec_id, i, v - avg(v) OVER (PARTITION BY i) AS v FROM e), g AS (SELECT a.i AS i, b.i AS j, sum(a.v*b.v) AS s FROM c a JOIN c b USING (vec_id) GROUP BY 1,2) SELECT round(pow(sum(s) FILTER (WHERE i=j),2)/sum(s*s),6) AS participation FROM g",
+)
+def _(spark, d):
+    return vectors.participation(t(spark, d, "embeddings"), "embedding").select(F.round("participation", 6).alias("participation"))
+
+
+def _probed(spark, d):
+    e = t(spark, d, "embeddings")
+    return e.select("vec_id", "embedding", (F.col("label") % 2).alias("y"), probe.grouped_fold(F.floor(F.col("vec_id") / 4)).alias("fold"))
+
+
+@query("sta_probe")
+def _(spark, d):
+    return probe.out_of_fold(_probed(spark, d), "embedding", "y", "fold").select("vec_id", "fold", "y", F.round("score", 5).alias("score"))
+
+
+@query("sta_probe_held_out")
+def _(spark, d):
+    x = _probed(spark, d)
+    fitted = probe.fit(x.where("fold < 3"), "embedding", "y")
+    if fitted is None:
+        return probe.held_out(x.where("fold = 4").withColumn("score", F.lit(None).cast("double")), None, "y")
+    return probe.held_out(fitted.score(x.where("fold = 4")), probe.threshold_at_load(fitted.score(x.where("fold = 3")), 0.2), "y")

@@ -11,7 +11,7 @@ from ..operators import classify, gates
 from ..session import ship
 from ..session import table as t
 from ..text.lexicon import Concept, Cue, Lexicon
-from ..text.mentions import annotator
+from ..text.mentions import annotator, concept_sets
 from ..text.segment import explode_sentences
 
 _PARTS = "(SELECT doc_id, source, lang, unnest(string_split_regex(text, '\\n+|\\. ')) AS part FROM documents)"
@@ -221,3 +221,14 @@ def _(spark, d):
     from ..operators.packaging import fingerprint
 
     return fingerprint(t(spark, d, "customer"), "c_custkey", ("c_mktsegment",))
+
+
+@query(
+    "txt_concept_sets",
+    "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text,'(?i)(^|[^\\p{L}\\p{N}_])licen[sc]') THEN 'licence' END, CASE WHEN regexp_matches(text,'(?i)(^|[^\\p{L}\\p{N}_])qu') THEN 'question' END, CASE WHEN regexp_matches(text,'(?i)(^|[^\\p{L}\\p{N}_])re[adp]') THEN 'reader' END) AS concepts FROM documents",
+)
+def _(spark, d):
+    names = Lexicon([Concept("licence", "observation", ("licen[sc]",)), Concept("reader", "observation", ("re[adp]",)), Concept("question", "observation", ("qu",))])
+    found = concept_sets(names)(F.col("text"))
+    ship(spark)
+    return t(spark, d, "documents").select("doc_id", F.concat_ws(",", found).alias("concepts"))

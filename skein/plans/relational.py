@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import binned, confusion_cell, stable_key, strip
-from ..operators import joins, ranks, sampling
+from ..operators import joins, ranks, sampling, spans
 from ..session import table as t
 
 @query("prj_path_parts", "SELECT page_id, split_part(url,'/',3) AS host, regexp_replace(url,'/[^/]*$','') AS head, regexp_extract(url,'([0-9]+)',1) AS digits, length(url) AS n FROM pages")
@@ -334,3 +334,26 @@ def _(spark, d):
 def _(spark, d):
     g = t(spark, d, "lineitem").where("l_linestatus in ('F','O')").groupBy("l_suppkey").agg(F.count_if(F.col("l_linestatus") == "F").alias("a"), F.count_if(F.col("l_linestatus") == "O").alias("b"))
     return g.select("l_suppkey", F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("dropped"), F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("added"))
+
+
+_SIDES = "x AS (SELECT l_orderkey AS g, l_returnflag AS concept, l_linenumber AS id, l_partkey % 5 AS s, l_partkey % 5 + 1 + l_suppkey % 3 AS e FROM lineitem), a AS (SELECT *, row_number() OVER (PARTITION BY g, concept, s, e ORDER BY id) AS nth FROM x WHERE id % 2 = 1), b AS (SELECT g, concept, s, e, id AS t_id, row_number() OVER (PARTITION BY g, concept, s, e ORDER BY id) AS nth FROM x WHERE id % 2 = 0)"
+
+
+def _span_sides(spark, d):
+    x = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_returnflag").alias("concept"), F.col("l_linenumber").alias("id"), (F.col("l_partkey") % 5).alias("s"), (F.col("l_partkey") % 5 + 1 + F.col("l_suppkey") % 3).alias("e"))
+    return x.where("id % 2 = 1"), x.where("id % 2 = 0")
+
+
+@query("jn_span_equal", f"WITH {_SIDES} SELECT g, concept, id, t_id FROM a FULL JOIN b USING (g, concept, s, e, nth)")
+def _(spark, d):
+    return spans.match_equal(*_span_sides(spark, d), ["g", "concept"])
+
+
+@query("jn_span_scores", f"WITH {_SIDES}, p AS (SELECT concept, id, t_id FROM a FULL JOIN b USING (g, concept, s, e, nth)), n AS (SELECT concept, count(*) FILTER (WHERE id IS NOT NULL AND t_id IS NOT NULL) AS tp, count(*) FILTER (WHERE t_id IS NULL) AS fn, count(*) FILTER (WHERE id IS NULL) AS fp FROM p GROUP BY 1) SELECT *, tp/nullif(tp+fp,0) AS precision, tp/nullif(tp+fn,0) AS recall, 2*tp/nullif(2*tp+fp+fn,0) AS f1 FROM n")
+def _(spark, d):
+    return spans.span_scores(spans.match_equal(*_span_sides(spark, d), ["g", "concept"]), "concept")
+
+
+@query("jn_span_greedy")
+def _(spark, d):
+    return spans.match_overlapping(*_span_sides(spark, d), ["g", "concept"])

@@ -87,12 +87,17 @@ def has_capture(pattern: str) -> bool:
 
 
 def union_matcher(concepts: list[Concept], right_boundary: bool = True) -> tuple[re.Pattern, list[Concept]]:
-    """One expression for all patterns, the longest first; group g<i> is the i-th entry of the returned list."""
+    """One expression for all patterns, the longest first; group g<i> is the i-th entry of the returned list.
+
+    A match begins at a word boundary, unless its pattern begins with a bracket.
+    Without right_boundary it may end within a word, as agglutinative languages need.
+    """
     entries = [(p, c) for c in concepts for p in c.patterns]
     for p, c in entries:
         if has_capture(p):
             raise ValueError(f"{c.name}: capturing group in {p!r}")
     entries.sort(key=lambda x: (-longest(x[0]), -len(x[0])))
     edge = r"\b" if right_boundary else ""
-    body = "|".join(rf"(?P<g{i}>{p})" for i, (p, _) in enumerate(entries))
-    return re.compile(rf"\b(?:{body}){edge}", re.I), [c for _, c in entries]
+    left = lambda p: "" if p.startswith(r"\(") else r"\b"  # noqa: E731  before a bracket a boundary would ask for a word
+    body = "|".join(rf"{left(p)}(?P<g{i}>{p})" for i, (p, _) in enumerate(entries))
+    return re.compile(rf"(?:{body}){edge}", re.I), [c for _, c in entries]

@@ -190,3 +190,15 @@ def annotator(lexicon: Lexicon):
             yield text.map(lambda x: engine.annotate(x) if x else [])
 
     return scan
+
+
+def concept_sets(lexicon: Lexicon, right_boundary: bool = False):
+    """A column function from whole texts to the sorted names of the concepts in them; a null text has none."""
+
+    @F.pandas_udf("array<string>")
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        matcher, entries = union_matcher(lexicon.concepts, right_boundary)
+        for text in batches:
+            yield text.map(lambda x: sorted({entries[int(m.lastgroup[1:])].name for m in matcher.finditer(x or "")}))
+
+    return scan
