@@ -43,7 +43,7 @@ def fit(train: DataFrame, vector: str, target: str, c: float = 1.0, most_steps:
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="__x", outputCol="__z").fit(x)
     model = LogisticRegression(
         featuresCol="__z", labelCol="__y", weightCol="__w", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c",
-        regParam=(n - 1) / n / (c * n), elasticNetParam=0.0, standardization=False, maxIter=most_steps, tol=1e-9,
+        regParam=(n - 1) / n / (c * n), elasticNetParam=0.0, standardization=False, maxIter=most_steps, tol=1e-7,
     ).fit(scaler.transform(x))
     return Probe(scaler, model, vector)
 

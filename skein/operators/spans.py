@@ -11,12 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import f1, ratio
+from ..session import ship, width
 from .joins import occurrence
 
 
@@ -32,7 +33,8 @@ def match_overlapping(gold: DataFrame, system: DataFrame, keys: Sequence[str]) -
     """Gives each gold span, in order, the first free system span of its keys that overlaps it.
 
     Greedy choice is sequential, but only among spans that a chain of overlaps
-    connects; each such island is a group of its own, so a large key is split.
+    connects; each such island is matched by itself, so a large key is split. To
+    find its islands the spans of one key are sorted in one task, which can spill.
     """
     sides = [df.select(*keys, F.col("id").cast("long").alias("id"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.lit(n).alias("side")) for df, n in ((gold, 0), (system, 1))]
     every = sides[0].unionByName(sides[1])
@@ -42,26 +44,42 @@ def match_overlapping(gold: DataFrame, system: DataFrame, keys: Sequence[str]) -
     order = W.partitionBy(*keys).orderBy("s", "e", "side", "id")
     reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     marked = every.where(whole).withColumn("reach", reach).withColumn("island", F.sum(F.when(F.col("s") < F.col("reach"), 0).otherwise(1)).over(order)).drop("reach")
-    # an island with one side only has nothing to match
-    both = marked.groupBy(*keys, "island").agg((F.min("side") != F.max("side")).alias("both"))
-    joined = marked.join(both, [*keys, "island"])
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        first = {k: group[k].iloc[0] for k in keys}
-        a, b = (list(x.sort_values("id")[["id", "s", "e"]].itertuples(index=False, name=None)) for x in (group[group["side"] == 0], group[group["side"] == 1]))
-        rows = []
-        for i, s, e in a:
-            at = next((n for n, (_, s2, e2) in enumerate(b) if s < e2 and s2 < e), None)
-            rows.append((i, None if at is None else b.pop(at)[0]))
-        rows += [(None, i) for i, _, _ in b]
-        out = pd.DataFrame(rows, columns=["id", "t_id"], dtype="Int64")
-        return out.assign(**first)[[*keys, "id", "t_id"]]
-
     kinds = dict(every.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "id bigint", "t_id bigint"])
-    alone = joined.where("not both").drop("both", "island").unionByName(every.where(~whole))
-    single = alone.select(*keys, F.when(F.col("side") == 0, F.col("id")).alias("id"), F.when(F.col("side") == 1, F.col("id")).alias("t_id"))
-    return joined.where("both").groupBy(*keys, "island").applyInPandas(greedy, schema).unionByName(single)
+    wide = len(keys)
+
+    def greedy(batches):
+        types, rows, now, gold_side, free = None, [], None, [], []
+
+        def done():
+            for i, s, e in gold_side:
+                at = next((n for n, (_, s2, e2) in enumerate(free) if s < e2 and s2 < e), None)
+                rows.append((*now[:wide], i, None if at is None else free.pop(at)[0]))
+            rows.extend((*now[:wide], None, i) for i, _, _ in free)
+
+        def sent():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], [*keys, "id", "t_id"])
+
+        for batch in batches:
+            types = [*(f.type for f in list(batch.schema)[:wide]), pa.int64(), pa.int64()]
+            for *key, side, i, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    if now is not None:
+                        done()
+                    now, gold_side, free = key, [], []
+                (free if side else gold_side).append((i, s, e))
+            if rows:
+                yield sent()
+                rows.clear()
+        if now is not None:
+            done()
+            yield sent()
+
+    ship(gold.sparkSession)
+    by_island = marked.select(*keys, "island", "side", "id", "s", "e").repartition(width(gold.sparkSession), *keys, "island")
+    pairs = by_island.sortWithinPartitions(*keys, "island", "side", "id", "s", "e").mapInArrow(greedy, schema)
+    alone = every.where(~whole)
+    return pairs.unionByName(alone.select(*keys, F.when(F.col("side") == 0, F.col("id")).alias("id"), F.when(F.col("side") == 1, F.col("id")).alias("t_id")))
 
 
 def span_scores(pairs: DataFrame, *by: str | Column) -> DataFrame:
