@@ -33,8 +33,8 @@ BOUNDS = {1: 2000, 0: 4000}
 LONGEST = 20_000
 #: Bytes of the stems of a word that count beside the word itself.
 STEMS = range(3, 9)
-#: A feature must be in so many documents of the sample, so many standard deviations more often in toxic ones; at most so many are used.
-LEAST_DOCS, LEAST_Z, FEATURES = 4, 8.0, 3000
+#: A feature must be in so many documents of the sample; of the surest, so many for each toxic document are used, and at most so many.
+LEAST_DOCS, PER_TOXIC, FEATURES = 4, 5, 3000
 STEPS, RATE, DECAY = 400, 0.1, 2e-5
 
 _WORD = np.zeros(256, bool)
@@ -129,7 +129,10 @@ def _pairs(owner: np.ndarray, codes: np.ndarray, of_word: list[list[int]], n: in
 
 
 def chosen_features(rows: DataFrame) -> list[str]:
-    """Features (as hex) that occur in more toxic documents than their frequency lets expect, the surest first."""
+    """Features (as hex) that occur in more toxic documents than their frequency lets expect, the surest first.
+
+    They are ranked, not held to a level that only many labels reach.
+    """
 
     def run(batches):
         for batch in batches:
@@ -149,7 +152,7 @@ def chosen_features(rows: DataFrame) -> list[str]:
     r = total.toxic / total.n
     counted = rows.mapInArrow(run, "feature binary, n bigint, toxic bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     z = (F.col("toxic") - F.col("n") * r) / F.sqrt(F.col("n") * r * (1 - r))
-    return [x.f for x in counted.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).select("z", F.hex("feature").alias("f")).orderBy(F.desc("z"), "f").limit(FEATURES).collect()]
+    return [x.f for x in counted.where(F.col("n") >= LEAST_DOCS).withColumn("z", z).where("z > 0").select("z", F.hex("feature").alias("f")).orderBy(F.desc("z"), "f").limit(min(FEATURES, PER_TOXIC * int(total.toxic))).collect()]
 
 
 def fit(sent: np.ndarray, feature: np.ndarray, text: np.ndarray, y: np.ndarray, k: int, steps: int = STEPS) -> tuple[np.ndarray, float]:

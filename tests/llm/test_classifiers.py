@@ -71,3 +71,32 @@ def test_flattened_trees_equal_a_plain_walk():
 def test_statistics_of_a_small_text():
     x = dict(zip(quality.STATISTICS, quality.statistics(pa.array(["AB ab\nab ab!\n\n", ""], pa.large_string()))[0]))
     assert x["share_upper"] == 2 / 14 and x["words_distinct"] == 3 / 4 and x["word_most"] == 2 / 4 and x["lines_distinct"] == 1 and x["words_shouted"] == 1 / 4
+
+
+def held_out_recall(spark, sf):
+    """Per language, the toxic documents found and all of them, each document scored by a model that didn't learn from it."""
+    docs = table(spark, sf, "documents")
+    labels = table(spark, sf, "labels")
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    found, clean = {}, []
+    for fold in range(toxicity.FOLDS):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(toxicity, "HELD", fold)
+            model = toxicity.train(docs, labels)
+        assert model.weights
+        for r in toxicity.score(docs, model).select("doc_id", "lang", "score").collect():
+            if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % toxicity.FOLDS == fold:
+                if truth[r.doc_id]:
+                    found.setdefault("en" if r.lang == "en" else "other", []).append(r.score >= 0.5)
+                else:
+                    clean.append(r.score >= 0.5)
+    return {k: (sum(v), len(v)) for k, v in found.items()}, sum(clean) / len(clean)
+
+
+def test_toxicity_with_few_labels(spark):
+    found, wrong = held_out_recall(spark, "/root/testdata/sf0.01")
+    print(found, wrong)
+    assert found["en"][0] >= 30 and found["other"][0] >= 6 and wrong < 0.02
+    found, wrong = held_out_recall(spark, "/root/testdata/sf0.001")
+    print(found, wrong)
+    assert found["en"][0] >= 2 and wrong < 0.05
