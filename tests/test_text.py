@@ -99,3 +99,10 @@ def test_sentence_rows_match_offsets(spark, sf):
     rows = QUERIES["txt_sentences"](spark, sf)
     assert rows.count() > 1000 and segment.offset_errors(rows, docs, "doc_id", "text").count() == 0
     assert QUERIES["txt_mentions"](spark, sf).where("concept is null").count() == 0
+
+
+def test_sentences_of_every_language(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id for r in QUERIES["txt_sentences"](spark, sf).select("doc_id").distinct().collect()}
+    assert got == {r.doc_id for r in docs.collect() if segment.sentences(r.text)}
+    assert {"de", "en", "es", "fr"} <= {r.lang for r in docs.collect() if r.doc_id in got}
