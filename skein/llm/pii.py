@@ -47,7 +47,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])")
-_TRIGGER = re.compile(r"[0-9@]")
+#: What every kind needs one of: a digit, an @ sign, or the colons of a MAC address, which can be all letters.
+_TRIGGER = re.compile(r"[0-9@]|:[A-Fa-f]{2}:")
 _WORDS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"[0-9]")
 

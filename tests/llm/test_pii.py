@@ -61,3 +61,9 @@ def test_edge_rows(spark):
     got = pii.digest_columns(pii.detect(df)).collect()
     assert sorted(r.n_email for r in got) == [0, 0, 1, 1]
     assert pii.detect(df.limit(0)).count() == 0
+
+
+def test_addresses_of_letters_alone():
+    for t in ("FF:FF:FF:FF:FF:FF", "adapter aa:bb:cc:dd:ee:ff"):
+        (x,) = pii.find(t)
+        assert x.kind == "mac" and t[x.start : x.end] == t.split()[-1] and pii.redact(t, [x]).endswith("[MAC]")
