@@ -22,7 +22,9 @@ reaches the threshold. The steps, each exact:
    one search a document. A block with too many shingles for one task is cut by
    size into bands, of which only neighbours can be linked, and a band that is
    still too large into parts, of which each pair is a task.
-5. Links become components.
+5. Links become components. Where each document's number of links is asked for,
+   the search of step 4 runs over all sets of a block instead of its leaders, and
+   each link counts once for every document of the class at its other end.
 
 Null texts and texts without words have the empty set and link with nothing.
 Rows with one id count as one document. Rows with a null id have no component.
@@ -46,7 +48,7 @@ from pyspark.sql import functions as F
 
 from ..session import settled, ship, table, width
 from .components import components
-from .lexing import chunks, plain_words
+from .lexing import chunks, plain_words, spread
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that are in one task of step 4 at most (a larger single document aside).
@@ -423,20 +425,132 @@ def block_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tu
     return links
 
 
-def links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links within blocks, enough to connect all that are linked."""
-    spark = sets.sparkSession
-    sizes = sets.select("doc_id", "n").join(blocks, "doc_id")
+def block_counts(sets: list[np.ndarray], weights: np.ndarray, percent: int, ours) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links (as places in `sets`) that tie together all linked sets, and for each set the weight of those it is linked with.
+
+    ours(i, js): which of the links of i with js count here.
+    """
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    _, back, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(back, kind="stable")
+    postings = owner[order]  # the inverted lists one after the other, each ascending
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))  # of each shingle of each set in its list
+    first = (np.cumsum(times) - times)[back]
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    counts, root, tied = np.zeros(n, np.int64), list(range(n)), []
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        a, b = first[cuts[i] : cuts[i + 1]], place[cuts[i] : cuts[i + 1]]  # the sets before this one in its lists
+        some = b > a
+        a, b = a[some], b[some]
+        least = max(1, int(_share(sizes[i], percent)))
+        if len(a) < least:
+            continue
+        by = np.argsort(b - a, kind="stable")
+        a, b = a[by], b[by]
+        size = b - a
+        long = min(least - 1, int(least / (Lists.MU * math.log2(int(size[-1]) + 1) + 1)), int((size > 1).sum()))
+        cut = len(a) - long
+        found = postings[spread(size[:cut], a[:cut])]
+        js, overlap = np.unique(found, return_counts=True) if len(found) < i else (np.arange(i), np.bincount(found, minlength=i))
+        left = long
+        keep = (overlap > 0) & (overlap + left >= least)
+        js, overlap = js[keep], overlap[keep]
+        for lo, hi in zip(a[cut:].tolist(), b[cut:].tolist()):
+            if not len(js):
+                break
+            held = postings[lo:hi]
+            at = np.searchsorted(held, js)
+            overlap = overlap + ((at < hi - lo) & (held[np.minimum(at, hi - lo - 1)] == js))
+            left -= 1
+            keep = overlap + left >= least
+            if not keep.all():
+                js, overlap = js[keep], overlap[keep]
+        js = js[100 * overlap >= percent * (sizes[i] + sizes[js] - overlap)]
+        for j in js.tolist():
+            if find(i) != find(j):
+                tied.append((i, j))
+                root[find(i)] = find(j)
+        js = js[ours(i, js)]
+        counts[i] += weights[js].sum()
+        counts[js] += weights[i]
+    return tied, counts
+
+
+def counted_links(sets: DataFrame, blocks: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links as those of `links`; and rows (fp, linked): parts of the number of documents that each class is linked with.
+
+    classes has fp, the document `rep` that stands for it, and weight, the number of its documents.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("fp", pa.binary()), ("linked", pa.int64())])
+
+    def run(batches):
+        now, held = None, []
+
+        def done():
+            if len(held) < 2:
+                return
+            ids, fps, raw, weights, upper, mine = zip(*held)
+            weights, upper, mine = np.array(weights, np.int64), np.array(upper), np.array(mine)
+            # sets meet in several tasks; their link counts where the band is the upper of the smaller set, for just their two parts
+            ours = lambda i, js: (upper[i] | upper[js]) & (np.minimum(mine[i], mine[js]) == now[1]) & (np.maximum(mine[i], mine[js]) == now[2])
+            tied, counts = block_counts([np.frombuffer(x, np.uint64) for x in raw], weights, percent, ours)
+            if tied:
+                a, b = ([ids[p] for p in x] for x in zip(*tied))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], schema=schema)
+            at = np.flatnonzero((counts > 0) & (weights > 0))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.array([fps[p] for p in at.tolist()], pa.binary()), pa.array(counts[at])], schema=schema)
+
+        for batch in batches:
+            for block, i, j, doc, fp, raw, weight, upper, mine in zip(*(batch.column(k).to_pylist() for k in range(9))):
+                if (block, i, j) != now:
+                    yield from done()
+                    now, held = (block, i, j), []
+                if not (held and held[-1][:2] == (doc, fp)):
+                    held.append((doc, fp, raw, weight, upper, mine))
+        yield from done()
+
+    # a set counts for the class only in the row of its own document
+    weight = F.when(F.col("rep") == F.col("doc_id"), F.col("weight")).otherwise(0).cast("long")
+    sizes = sets.select("doc_id", "fp", "n").distinct().join(blocks, "doc_id").join(classes.select("fp", "rep", "weight"), "fp")
+    sizes = sizes.select("doc_id", "fp", "n", "block", weight.alias("weight"))
+    rows = _tasks(sets.drop("n"), sizes, percent).select("block", "i", "j", "doc_id", "fp", "hashes", "weight", "upper", "mine")
+    return rows.repartition(width(sets.sparkSession), "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id", "fp").mapInArrow(run, "a bigint, b bigint, fp binary, linked bigint")
+
+
+def _tasks(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The sets of each task (block, i, j), with `mine`, the part of each, and whether the task's band is the `upper` one of its two.
+
+    sizes has block, n and columns that name rows of sets; any others are kept.
+    """
+    keep = [c for c in sizes.columns if c not in ("n", "block")]
     # linked sets lie in one band of sizes or in neighbouring ones, as a band is a little wider than they may differ
     band = F.floor(F.log("n") / math.log(100.01 / percent)).cast("int")
     large = sizes.groupBy("block").agg((F.sum("n") > BLOCK_SHINGLES).alias("large"))
     bands = F.when(F.col("large"), F.array(band, band + 1)).otherwise(F.array(F.lit(-1)))
-    sizes = sizes.join(large, "block").select("doc_id", "n", "block", F.explode(bands).alias("band"))
+    sizes = sizes.join(large, "block").select(*keep, "n", "block", F.explode(bands).alias("band")).withColumn("upper", (F.col("band") == -1) | (F.col("band") > band))
     parts = sizes.groupBy("block", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("parts"))
     sizes = sizes.join(parts, ["block", "band"]).withColumn("mine", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j"))))
-    tasks = sizes.select("doc_id", F.xxhash64("block", "band").alias("block"), pair.alias("pair")).select("doc_id", "block", "pair.i", "pair.j")
-    rows = tasks.join(sets, "doc_id").select("block", "i", "j", "doc_id", "hashes")
+    tasks = sizes.select(*keep, "upper", "mine", F.xxhash64("block", "band").alias("block"), pair.alias("pair")).select(*keep, "upper", "mine", "block", "pair.i", "pair.j")
+    return tasks.join(sets, [c for c in keep if c in sets.columns])
+
+
+def links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within blocks, enough to connect all that are linked."""
+    spark = sets.sparkSession
+    sets = sets.select("doc_id", "n", "hashes")
+    rows = _tasks(sets.drop("n"), sets.select("doc_id", "n").join(blocks, "doc_id"), percent).select("block", "i", "j", "doc_id", "hashes")
 
     def run(batches):
         now, ids, sets = None, [], []
@@ -462,15 +576,18 @@ def links(sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
     return rows.repartition(width(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j", "doc_id").mapInArrow(run, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row for each row of docs."""
+def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row for each row of docs; and if asked for n_links, how many other documents link with it.
+
+    Different texts of one id have links of their own, each counting for itself.
+    """
     if not 50 < percent <= 100:
         raise ValueError("the threshold must be above 50 and at most 100 percent")
     ship(docs.sparkSession)
     counted = settled(prefix_counts(docs, size, percent), "shingle-counts")
     info = counted.where("n is not null").select("doc_id", "n", "fp")
     hits = hit_sums(counted.where("slot is not null").select("slot", "ids", "hits"))
-    classes = info.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
+    classes = info.where("doc_id is not null and n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), *([F.count_distinct("doc_id").alias("weight")] if count_links else []))
     partner = F.ceil(F.col("n") * percent / 100)  # the least size of a linked set
     need = F.greatest(F.lit(1), F.floor(PREFIX_SHARE * partner))
     play = classes.join(hits.withColumnRenamed("doc_id", "rep"), "rep").where(F.col("hits") >= need).select(F.col("rep").alias("doc_id")).distinct()
@@ -479,19 +596,28 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 sets = shingle_sets(texts, size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "n", "hashes"])
+                raw = [x.tobytes() for x in sets]
+                fps = [hashlib.blake2b(x, digest_size=16).digest() for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(raw, pa.binary()), pa.array(fps, pa.binary())], ["doc_id", "n", "hashes", "fp"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    sets = settled(texts.join(play, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, n bigint, hashes binary").where("n > 0"), "shingle-sets")
+    sets = settled(texts.join(play, "doc_id", "left_semi").mapInArrow(run, "doc_id bigint, n bigint, hashes binary, fp binary").where("n > 0"), "shingle-sets")
     blocks = components(block_edges(sets, percent)).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    tied = components(links(sets, blocks, percent))
+    found = settled(counted_links(sets, blocks, classes, percent), "links") if count_links else links(sets, blocks, percent)
+    tied = components(found.select("a", "b"))
     reps = classes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     out = info.join(reps, "fp", "left").groupBy("doc_id").agg(F.min("component_id").alias("c"))
     # rows with one id are one document, so each row takes the smallest component of its id
     final = info.join(out, "doc_id", "left")
-    return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("doc_id")).alias("component_id"))
+    cols = ["doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("c")), F.col("doc_id")).alias("component_id")]
+    if count_links:
+        others = found.where("fp is not null").groupBy("fp").agg(F.sum("linked").alias("linked"))
+        per = classes.join(others, "fp", "left").select("fp", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+        final = final.join(per, "fp", "left")
+        cols.append(F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    return final.select(*cols)
 
 
 def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate component of every document."""
-    return join(table(spark, sf_dir, "documents"))
+    """The near-duplicate component of every document, and the number of its links."""
+    return join(table(spark, sf_dir, "documents"), count_links=True)

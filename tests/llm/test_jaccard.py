@@ -113,3 +113,28 @@ def test_shingles_of_short_texts_differ():
     sets = jaccard.shingle_sets(pa.array(["a b", "a b", "b a", "ab", ""], pa.large_string()))
     assert sets[0] == sets[1] and len({int(x[0]) for x in sets[:4]}) == 3 and len(sets[4]) == 0
     assert np.all(np.diff(jaccard.shingle_sets(pa.array(["q w e r t y " * 9], pa.large_string()))[0].astype(float)) > 0)
+
+
+def brute_links(docs, percent=80):
+    sets = plain_sets(docs)
+    return {a: sum(a != b and bool(x and y) and 100 * len(x & y) >= percent * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+
+
+@pytest.mark.parametrize("bound", [700, 2_000_000])
+def test_link_counts_equal_brute_force(spark, monkeypatch, bound):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", bound)
+    docs = corpus(7)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    rows = jaccard.join(df, count_links=True).collect()
+    assert {r.doc_id: r.n_links for r in rows} == brute_links(docs) and max(r.n_links for r in rows) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(docs)
+
+
+def test_query_counts_links(spark, sf):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: r.n_links for r in jaccard.op5_jaccard(spark, sf).collect()} == brute_links(docs)
+
+
+def test_link_counts_of_repeated_and_nameless_rows(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (2, "a b c d e f"), (9, None)], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_links) for r in jaccard.join(df, count_links=True).collect()), key=str) == sorted([(None, None), (4, 1), (4, 1), (2, 1), (9, 0)], key=str)
