@@ -106,3 +106,12 @@ def test_sentences_of_every_language(spark, sf):
     got = {r.doc_id for r in QUERIES["txt_sentences"](spark, sf).select("doc_id").distinct().collect()}
     assert got == {r.doc_id for r in docs.collect() if segment.sentences(r.text)}
     assert {"de", "en", "es", "fr"} <= {r.lang for r in docs.collect() if r.doc_id in got}
+
+
+def test_exposure_at_edges_of_words_and_lines(spark, tmp_path):
+    passage = "bar baz qux quux corge grault garply waldo fred plugh xyzzy thud and more"
+    texts = ["foo\n" + passage, "a\tb\n\n" + passage, "x" + passage, "few words", "not " + passage[10:], passage.replace(" ", "\n"), None]
+    spark.createDataFrame([(i, x, f"s{i}") for i, x in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, "Few words"), (3, "nowhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in QUERIES["txt_exposure"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 3, 3), (2, 1, 1)}
