@@ -1,4 +1,4 @@
-"""Bootstrap and permutation by weights: no resampled row is ever made.
+"""Bootstrap by weights: no resampled row is ever made.
 
 In iteration b a cluster counts as often as a Poisson(1) draw says, taken from a
 hash of (seed, b, cluster); weights are shared by all systems compared, so
