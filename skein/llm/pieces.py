@@ -4,7 +4,7 @@ The model file is a protobuf; its pieces, scores and specifications are read
 here without generated code, and an encoder of the tokenizers library is built
 from them: the normaliser (the precompiled character map, the added first space,
 runs of blanks), the marker that stands for a space, unigram scores or the merges that
-pair scores imply, and byte fallback. The library encodes on several threads.
+pair scores imply, and byte fallback.
 
 Where no piece has a marker after another character, a text's ids are those of
 its words in a row, so each distinct word of a batch is encoded once. Parity
