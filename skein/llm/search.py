@@ -1,23 +1,31 @@
 """Exact top-k search: BM25 over sharded inverted indexes, with block-max WAND pruning.
 
-Every task builds an inverted index over its own texts (a shard of at most
-SHARD_BYTES), in which the postings of a term are cut by blocks of 64 documents,
-each with the greatest score the term gives there. Statistics (documents, mean
-length, document frequencies of the queries' terms) are counted over all
-documents first, so all shards score alike and their results merge exactly.
-
-For a query, a threshold is known beforehand: the k-th best score among a bounded
-seed of documents, which the final k-th best can't be below. Terms whose greatest
-scores together stay below the threshold can't bring in a document by themselves,
-so only the others' postings are merged (the pivot condition of WAND); a document
-is completed only if its partial score and the maxima that the skipped terms have
-in its block reach the threshold.
+Every task builds inverted indexes over its own texts (shards of at most
+SHARD_BYTES and SHARD_DOCS). A shard's documents are ordered by kind (clusters by
+the common terms they have), then length, and cut into blocks; of each term and
+block the greatest score is kept. Statistics (documents, mean length, document
+frequencies) are counted over all documents first, so all shards score alike and
+their results merge exactly.
+
+A block in which the block maxima of a query's terms together stay below the
+query's threshold is skipped. In each other block the common terms, which have
+their impacts in a table, are scored by a matrix product for TILE_ROWS queries at
+once; the other terms follow in the order of their greatest scores, and the pivot
+is the term at which the best score so far in the block and the cumulated block
+maxima pass a share (PIVOT) of the threshold. A document without a term from the
+pivot on can't reach the threshold, so only the postings from the pivot on are
+opened. Documents whose score so far and the maxima of the unopened terms reach
+the threshold are completed from their own lists of terms, the most promising
+ones first. The threshold is the k-th best score known: it rises as documents are
+completed and is carried over to a task's next shards. A first round over every
+SEED_SHARE-th document (by a hash of its id) gives the threshold to begin with.
 
 A query's terms count once each. Scores are rounded to 6 decimals; ties go by
 ascending id. Texts are cut into lower-case runs of letters and digits. Null and
 empty texts match nothing and, as queries, give no rows. Rows with a null id
-aren't found; rows with one id are found as often as they occur. Extra columns
-are ignored.
+aren't found; rows with one id are found as often as they occur. A text longer
+than SHARD_BYTES makes a shard of its own, whole; a query of any length is one
+row, of which a shard keeps the block maxima at once. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,9 +44,16 @@ from .files import folder_files, opened
 from .lexing import buffer_of, chunks, distinct_words, runs, spread, words_array
 
 TOP, K1, B = 10, 1.2, 0.75
-#: Bytes of text in a shard, documents in a block (two to this power), documents in the seed, queries handled at once.
-SHARD_BYTES, BLOCK_BITS, SEED, QUERY_ROWS = 24 << 20, 6, 4000, 512
-SLACK = 1e-5
+#: Bytes of text and documents in a shard, documents in a block (two to this power), queries read and queries scored at once.
+SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 24 << 20, 16384, 10, 512, 64
+#: Bytes of text of which terms are counted at once; one in how many documents the first round takes.
+COUNT_BYTES, SEED_SHARE = 12 << 20, 64
+#: A term is common if one in so many documents of a shard has it; runs from which a term has a row of block maxima; clusters.
+TABLE_SHARE, ROW_RUNS, KINDS = 32, 4, 8
+#: Cells of a shard's table, which bounds its memory: beyond them the next frequent terms are treated as the rarer ones.
+TABLE_CELLS = 1 << 24
+#: Share of the threshold that may stay unopened. Bounds are sums in single precision, so scores this near below the threshold are looked at too.
+PIVOT, SLACK, SHARE_SLACK = 0.4, 1e-5, 1e-3
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -53,13 +68,37 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.searchsorted(off, starts, "right") - 1, codes, values
 
 
+def _kinds(term: np.ndarray, doc: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
+    """A cluster for each document, by the common terms it has: so blocks hold documents alike."""
+    has = np.zeros((n, len(common)), np.float32)
+    place = np.full(int(term.max()) + 1 if len(term) else 0, -1)
+    place[common] = np.arange(len(common))
+    at = np.flatnonzero(place[term] >= 0)
+    has[doc[at], place[term[at]]] = 1
+    has /= np.maximum(np.linalg.norm(has, axis=1, keepdims=True), 1)
+    centre = has[:1]
+    for _ in range(KINDS - 1):
+        centre = np.concatenate([centre, has[(has @ centre.T).max(1).argmin()][None]])
+    for _ in range(3):
+        kind = (has @ centre.T).argmax(1)
+        for c in range(KINDS):
+            if (kind == c).any():
+                centre[c] = has[kind == c].mean(0)
+    return kind
+
+
+def _cut(least: float) -> float:
+    """What a score bound must reach for a score of `least` to be possible."""
+    return least * (1 - SHARE_SLACK) - SLACK
+
+
 @dataclass
 class Shard:
-    """An inverted index; impacts are a term's scores without its idf."""
+    """An inverted index; impacts are a term's scores without its idf. Postings lie by term, then document."""
 
     ids: np.ndarray
     terms: pa.Array
-    first: np.ndarray  # of each term's postings
+    blocks: int
     doc: np.ndarray
     impact: np.ndarray
     run_first: np.ndarray  # of each term's runs, a run being its postings in one block
@@ -67,64 +106,148 @@ class Shard:
     run_block: np.ndarray
     run_max: np.ndarray
     term_max: np.ndarray
+    row: np.ndarray  # of each term in the next two, or -1; the most frequent terms come first
+    row_max: np.ndarray  # block maxima by row and block
+    row_run: np.ndarray  # runs by row and block
+    table: np.ndarray  # impacts by row and document, for the most frequent terms
+    doc_first: np.ndarray  # of each document's terms
+    doc_term: np.ndarray
+    doc_impact: np.ndarray
+    weight: np.ndarray  # of each term in the query at hand, else 0
 
     @classmethod
     def of(cls, ids: np.ndarray, texts: pa.Array, mean_length: float) -> "Shard":
         """Indexes texts."""
         text, code, terms = terms_of(texts)
-        n, v = len(ids), len(terms)
+        n, v = max(len(ids), 1), len(terms)
         length = np.bincount(text, minlength=n)
-        key, tf = np.unique(code.astype(np.int64) * max(n, 1) + text, return_counts=True)
-        term, doc = key // max(n, 1), key % max(n, 1)
+        key, tf = np.unique(code.astype(np.int64) * n + text, return_counts=True)
+        term, doc = key // n, key % n
+        found = np.bincount(term, minlength=v)
+        most = np.argsort(-found, kind="stable")[: TABLE_CELLS // n]
+        common = np.sort(most[found[most] * TABLE_SHARE >= n])
+        by_kind = np.lexsort((length, _kinds(term, doc, common, n)))
+        rank = np.empty(n, np.int64)
+        rank[by_kind] = np.arange(n)
+        doc, length = rank[doc], length[by_kind]
+        order = np.argsort(term * n + doc, kind="stable")
+        doc, tf = doc[order], tf[order]
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
-        block = doc >> BLOCK_BITS
-        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)]
-        run_at = np.flatnonzero(new)
-        run_max = np.maximum.reduceat(impact, run_at) if len(run_at) else impact
-        first = np.searchsorted(term, np.arange(v + 1))
-        return cls(ids, terms, first, doc, impact, np.searchsorted(term[run_at], np.arange(v + 1)), np.append(run_at, len(doc)), block[run_at], run_max, np.maximum.reduceat(impact, first[:-1]) if v else impact)
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, least: float) -> list[tuple[float, int]]:
-        """(score, id) of the best k documents with a score of at least `least`; terms are codes of this shard."""
-        n = len(self.ids)
-        most = weights * self.term_max[terms]
-        order = np.argsort(most, kind="stable")
-        terms, weights = terms[order], weights[order]
-        skipped = int(np.searchsorted(np.cumsum(most[order]), least - SLACK)) if least > 0 else 0
-
-        def postings(ts):
-            count = self.first[ts + 1] - self.first[ts]
-            return spread(count, self.first[ts]), count
-
-        if skipped == len(terms):
-            return []
-        at, count = postings(terms[skipped:])
-        score = np.bincount(self.doc[at], self.impact[at] * np.repeat(weights[skipped:], count), n)
-        if skipped:
-            low, w = terms[:skipped], weights[:skipped]
-            count = self.run_first[low + 1] - self.run_first[low]
-            run = spread(count, self.run_first[low])
-            run_weight = np.repeat(w, count)
-            bound = np.bincount(self.run_block[run], self.run_max[run] * run_weight, (n >> BLOCK_BITS) + 1)
-            hit = np.flatnonzero(score)
-            hit = hit[score[hit] + bound[hit >> BLOCK_BITS] >= least - SLACK]
-            if not len(hit):
-                return []
-            wanted = np.zeros(len(bound), bool)
-            wanted[hit >> BLOCK_BITS] = True
-            near = wanted[self.run_block[run]]
-            run, run_weight = run[near], run_weight[near]
-            size = self.run_at[run + 1] - self.run_at[run]
-            at = spread(size, self.run_at[run])
-            score = score + np.bincount(self.doc[at], self.impact[at] * np.repeat(run_weight, size), n)
-        else:
-            hit = np.flatnonzero(score)
-        hit = hit[score[hit] >= least - SLACK]
-        if len(hit) > k:
-            cut = np.partition(score[hit], len(hit) - k)[len(hit) - k]
-            hit = hit[score[hit] >= cut - SLACK]
-        found = sorted(zip((-np.round(score[hit], 6)).tolist(), self.ids[hit].tolist()))[:k]
-        return [(-s, i) for s, i in found]
+        block, blocks = doc >> BLOCK_BITS, (n - 1 >> BLOCK_BITS) + 1
+        run_at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
+        run_max = np.maximum.reduceat(impact, run_at) if v else impact
+        run_term, run_block = term[run_at], block[run_at]
+        run_first = np.searchsorted(run_term, np.arange(v + 1))
+        row = np.full(v, -1)
+        row[common] = np.arange(len(common))
+        more = np.flatnonzero((np.diff(run_first) >= ROW_RUNS) & (row < 0))
+        row[more] = np.arange(len(common), len(common) + len(more))
+        rows = len(common) + len(more)
+        row_max, row_run = np.zeros((rows, blocks), np.float32), np.zeros((rows, blocks), np.int32)
+        inside = np.flatnonzero(row[run_term] >= 0)
+        row_max[row[run_term[inside]], run_block[inside]] = run_max[inside]
+        row_run[row[run_term[inside]], run_block[inside]] = inside
+        table = np.zeros((len(common), n), np.float32)
+        at = np.flatnonzero((row[term] >= 0) & (row[term] < len(common)))
+        table[row[term[at]], doc[at]] = impact[at]
+        by_doc = np.argsort(doc, kind="stable")
+        doc_first = np.searchsorted(doc[by_doc], np.arange(n + 1))
+        term_max = np.maximum.reduceat(run_max, run_first[:-1]) if v else run_max
+        return cls(ids[by_kind], terms, blocks, doc, impact, run_first, np.append(run_at, len(doc)), run_block.astype(np.int32), run_max.astype(np.float32), term_max, row, row_max, row_run, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v))
+
+    def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[float, int]]]:
+        """(score, id) of the best k documents for each query (terms, weights, least score); terms are codes of this shard."""
+        out: list[list[tuple[float, int]]] = []
+        for at in range(0, len(queries), TILE_ROWS):
+            some = queries[at : at + TILE_ROWS]
+            common = np.zeros((len(some), len(self.table)), np.float32)
+            for q, (terms, weights, _) in enumerate(some):
+                row = self.row[terms]
+                tabled = (row >= 0) & (row < len(self.table))
+                common[q, row[tabled]] = weights[tabled]
+            # bounds of the blocks: those below a query's threshold are skipped
+            bounds = common @ self.row_max[: len(self.table)]
+            plans = [self._bounded(*x, bounds[q]) for q, x in enumerate(some)]
+            tile = np.zeros((len(some), self.blocks << BLOCK_BITS), np.float32)
+            for b in range(self.blocks):
+                live = np.flatnonzero([p.live[b] for p in plans])
+                here = self.table[:, b << BLOCK_BITS : b + 1 << BLOCK_BITS]
+                if len(live) and here.size:
+                    tile[live, b << BLOCK_BITS : (b << BLOCK_BITS) + here.shape[1]] = common[live] @ here
+            out += [self._scored(p, *x, tile[q], k) if p.live.any() else [] for q, (x, p) in enumerate(zip(some, plans))]
+        return out
+
+    def _bounded(self, terms: np.ndarray, weights: np.ndarray, least: float, total: np.ndarray) -> "Plan":
+        """The block maxima of a query's rarer terms, and the blocks that can hold a result."""
+        row = self.row[terms]
+        kept = np.flatnonzero(row >= len(self.table))
+        kept = kept[np.argsort(weights[kept] * self.term_max[terms[kept]], kind="stable")]
+        loose = np.flatnonzero(row < 0)
+        first = self.run_first[terms[loose]]
+        count = self.run_first[terms[loose] + 1] - first
+        run = spread(count, first)
+        run_weight = np.repeat(weights[loose], count)
+        bound = self.row_max[row[kept]]
+        bound *= weights[kept].astype(np.float32)[:, None]
+        total = total + bound.sum(0) + np.bincount(self.run_block[run], self.run_max[run] * run_weight, self.blocks)
+        return Plan(row[kept], weights[kept], bound, run, run_weight, (total > 0) & (total >= _cut(least)))
+
+    def _scored(self, plan: "Plan", terms: np.ndarray, weights: np.ndarray, least: float, score: np.ndarray, k: int) -> list[tuple[float, int]]:
+        """The best k documents in the live blocks; score has what the terms of the table give each document."""
+        bound, cut = plan.bound, _cut(least)
+        # the pivot of each block: with the best that the table gives there, terms before it can't reach the threshold
+        opened = (bound > 0) & plan.live
+        rest = np.zeros(self.blocks)
+        if least > 0 and len(bound):
+            most = score.reshape(self.blocks, -1).max(1)
+            cumulated = np.cumsum(bound, 0)
+            shut = cumulated <= PIVOT * cut - most
+            pivot = shut.sum(0)
+            rest = np.where(pivot > 0, cumulated[np.maximum(pivot - 1, 0), np.arange(self.blocks)], 0.0)
+            opened &= ~shut
+        i, j = np.nonzero(opened)
+        inside = plan.live[self.run_block[plan.run]]
+        run = np.concatenate([self.row_run[plan.row[i], j], plan.run[inside]])
+        run_weight = np.concatenate([plan.weight[i], plan.run_weight[inside]])
+        first = self.run_at[run]
+        count = self.run_at[run + 1] - first
+        posting = spread(count, first)
+        score = score + np.bincount(self.doc[posting], self.impact[posting] * np.repeat(run_weight, count), len(score))
+        # a document's score so far and the maxima of the unopened terms bound its score
+        upper = (score.reshape(self.blocks, -1) + rest[:, None]).ravel()
+        doc = np.flatnonzero((score > 0) & (upper >= cut))
+        if len(doc) > k:
+            floor = float(np.partition(score[doc], len(doc) - k)[len(doc) - k])
+            doc = doc[upper[doc] >= _cut(floor)]
+        best: list[tuple[float, int]] = []
+        if len(doc):
+            doc = doc[np.argsort(-upper[doc], kind="stable")]
+            self.weight[terms] = weights
+            done, step = 0, k
+            while done < len(doc) and upper[doc[done]] >= _cut(least):
+                some = doc[done : done + step]
+                done, step = done + step, 2 * step
+                count = self.doc_first[some + 1] - self.doc_first[some]
+                entry = spread(count, self.doc_first[some])
+                exact = np.round(np.add.reduceat(self.weight[self.doc_term[entry]] * self.doc_impact[entry], np.cumsum(count) - count), 6)
+                good = exact >= least - SLACK
+                best = sorted(best + list(zip((-exact[good]).tolist(), self.ids[some[good]].tolist())))[:k]
+                if len(best) == k:
+                    least = max(least, -best[-1][0])
+            self.weight[terms] = 0
+        return [(-s, i) for s, i in best]
+
+
+@dataclass
+class Plan:
+    """A query in a shard: its terms with rows, the runs of its rarest terms, and the live blocks."""
+
+    row: np.ndarray
+    weight: np.ndarray
+    bound: np.ndarray
+    run: np.ndarray
+    run_weight: np.ndarray
+    live: np.ndarray
 
 
 def _flat_terms(queries: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -132,49 +255,60 @@ def _flat_terms(queries: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return terms.flatten(), queries.column("weights").combine_chunks().flatten().to_numpy(), terms.offsets.to_numpy().astype(np.int64) - terms.offsets[0].as_py()
 
 
-def searched(shard: Shard, queries: pa.Table, k: int):
-    """For each query its place and the shard's results."""
+def searched(shard: Shard, queries: pa.Table, k: int, least: np.ndarray):
+    """For each query that shares a term with the shard its place and the shard's results."""
     terms, weights, off = _flat_terms(queries)
-    place = pc.index_in(terms, value_set=shard.terms).fill_null(-1).to_numpy() if len(shard.terms) else np.full(len(terms), -1)
-    least = queries.column("least").to_numpy() if "least" in queries.column_names else np.zeros(len(queries))
+    place = pc.index_in(terms, value_set=shard.terms).fill_null(-1).to_numpy().astype(np.int64) if len(shard.terms) else np.full(len(terms), -1)
+    met, asked = [], []
     for i in range(len(queries)):
         t = place[off[i] : off[i + 1]]
         here = t >= 0
         if here.any():
-            yield i, shard.search(t[here].astype(np.int64), weights[off[i] : off[i + 1]][here], k, float(least[i]))
+            met.append(i)
+            asked.append((t[here], weights[off[i] : off[i + 1]][here], float(least[i])))
+    return zip(met, shard.search(asked, k))
 
 
 def _shards(batches, mean_length: float):
     """Shards of a task's rows (doc_id, text)."""
-    ids, texts, size = [], [], 0
+    ids, texts, size, rows = [], [], 0, 0
 
     def made():
-        key = np.concatenate(ids)
-        return Shard.of(key, pa.concat_arrays(texts), mean_length)
+        return Shard.of(np.concatenate(ids), pa.concat_arrays(texts), mean_length)
 
     for batch in batches:
         for part, text in chunks(batch, "text"):
             known = part.column(0).is_valid()
+            if rows and (size + text.nbytes > SHARD_BYTES or rows + len(text) > SHARD_DOCS):
+                yield made()
+                ids, texts, size, rows = [], [], 0, 0
             ids.append(part.column(0).filter(known).to_numpy(zero_copy_only=False))
             texts.append(text.filter(known))
-            size += text.nbytes
-            if size >= SHARD_BYTES:
-                yield made()
-                ids, texts, size = [], [], 0
-    if ids:
+            size, rows = size + text.nbytes, rows + len(text)
+    if rows:
         yield made()
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
     """(term, n, words): in how many texts each term is; the row with a null term has the number of texts and words."""
 
+    def counted(texts: pa.Array):
+        text, code, terms = terms_of(texts)
+        pair = np.unique(code.astype(np.int64) * max(len(texts), 1) + text) // max(len(texts), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([len(texts)]), pa.array([len(code)])], ["term", "n", "words"])
+        yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(pair, minlength=len(terms))), pa.array(np.zeros(len(terms), np.int64))], ["term", "n", "words"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for _, texts in chunks(batch, "text"):
-                text, code, terms = terms_of(texts)
-                pair = np.unique(code.astype(np.int64) * max(len(texts), 1) + text) // max(len(texts), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([len(texts)]), pa.array([len(code)])], ["term", "n", "words"])
-                yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(pair, minlength=len(terms))), pa.array(np.zeros(len(terms), np.int64))], ["term", "n", "words"])
+                held.append(texts)
+                size += texts.nbytes
+                if size >= COUNT_BYTES:
+                    yield from counted(pa.concat_arrays(held))
+                    held, size = [], 0
+        if held:
+            yield from counted(pa.concat_arrays(held))
 
     return docs.mapInArrow(run, "term binary, n bigint, words bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
 
@@ -212,54 +346,20 @@ def _blocks(folder: str):
                 block += 1
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """(query_id, rank, doc_id, score) of the k best documents (doc_id, text) for each query (query_id, text)."""
-    ship(docs.sparkSession)
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    wanted = settled(query_terms(queries.select(F.col("query_id").cast("long"), F.col("text").cast("string").alias("text")).where("query_id is not null")), "query-terms")
-    known = settled(term_statistics(docs.where("doc_id is not null")), "term-statistics")
-    total = known.where("term is null").first()
-    n, mean_length = (total.n, max(total.words / total.n, 1e-9)) if total else (0, 1.0)
-    schema = "query_id long, rank int, doc_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
-    idf = F.log(1 + (n - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighted = wanted.join(known.where("term is not null"), "term").select("query_id", "term", idf.alias("weight"))
-    # one row a query, whose size is that of its text
-    one = F.array_sort(F.collect_list(F.struct("term", "weight")))
-    plain = weighted.groupBy("query_id").agg(one.alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
-
-    seed = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SEED)
-    seeds = settled(docs.join(F.broadcast(seed.distinct()), "doc_id", "left_semi"), "search-seed")
-    seed_folder = seeds.inputFiles()
-    base = seed_folder[0].rsplit("/", 1)[0] if seed_folder else ""
-
-    def with_least(batches):
-        parts = []
-        for uri in folder_files(base) if base else []:
-            system, at = opened(uri)
-            with system.open_input_file(at) as f:
-                parts.append(pq.read_table(f))
-        rows = pa.concat_tables(parts).sort_by([("doc_id", "ascending")])
-        from .lexing import texts_of
-
-        shard = Shard.of(rows.column("doc_id").to_numpy(), texts_of(rows.column("text")), mean_length)
-        for batch in batches:
-            least = np.zeros(batch.num_rows)
-            for i, found in searched(shard, pa.Table.from_batches([batch]), k):
-                if len(found) == k:
-                    least[i] = found[-1][0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least)], [*batch.schema.names, "least"])
-
-    folder = shared_folder(spark, "search-queries")
-    plain.mapInArrow(with_least, "query_id bigint, terms array<binary>, weights array<double>, least double").write.parquet(folder)
+def _ranked(docs: DataFrame, folder: str, k: int, mean_length: float) -> DataFrame:
+    """(query_id, rank, doc_id, score) of the k best of docs for the queries of the folder (query_id, terms, weights, least)."""
 
     def search(batches):
+        known: dict[int, np.ndarray] = {}  # thresholds by block of queries, as the task's shards have raised them
         for shard in _shards(batches, mean_length):
             for block, some in _blocks(folder):
                 ids = some.column("query_id").to_pylist()
-                rows = [(ids[i], d, s) for i, found in searched(shard, some, k) for s, d in found]
+                least = known.setdefault(block, np.nan_to_num(some.column("least").to_numpy().astype(float)))
+                rows = []
+                for i, found in searched(shard, some, k, least):
+                    rows += [(ids[i], d, s) for s, d in found]
+                    if len(found) == k:
+                        least[i] = max(least[i], found[-1][0])
                 if rows:
                     yield _packed(block, rows)
 
@@ -285,7 +385,35 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
             yield done()
 
     packed = docs.mapInArrow(search, RESULT)
-    return packed.repartition(width(spark), "block").sortWithinPartitions("block").mapInArrow(merge, "query_id bigint, rank int, doc_id bigint, score double")
+    return packed.repartition(width(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(merge, "query_id bigint, rank int, doc_id bigint, score double")
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
+    """(query_id, rank, doc_id, score) of the k best documents (doc_id, text) for each query (query_id, text)."""
+    spark = docs.sparkSession
+    ship(spark)
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
+    wanted = settled(query_terms(queries.select(F.col("query_id").cast("long"), F.col("text").cast("string").alias("text")).where("query_id is not null")), "query-terms")
+    known = settled(term_statistics(docs.where("doc_id is not null")), "term-statistics")
+    total = known.where("term is null").first()
+    n, mean_length = (total.n, max(total.words / total.n, 1e-9)) if total else (0, 1.0)
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    idf = F.log(1 + (n - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    weighted = wanted.join(known.where("term is not null"), "term").select("query_id", "term", idf.alias("weight"))
+    # one row a query, whose size is that of its text
+    one = F.array_sort(F.collect_list(F.struct("term", "weight")))
+    plain = weighted.groupBy("query_id").agg(one.alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+    at = shared_folder(spark, "search-queries")
+    plain.withColumn("least", F.lit(0.0)).write.parquet(at)
+
+    # the first round: every SEED_SHARE-th document, in shards of the usual size
+    seed = docs.where(f"doc_id is not null and pmod(xxhash64(doc_id), {SEED_SHARE}) = 0")
+    seeds = settled(seed.repartition(-(-n // SEED_SHARE // SHARD_DOCS) or 1), "search-seed")
+    least = _ranked(seeds, at, k, mean_length).where(f"rank = {k}").select("query_id", F.col("score").alias("least"))
+    raised = shared_folder(spark, "search-queries")
+    spark.read.parquet(at).drop("least").join(least, "query_id", "left").write.parquet(raised)
+    return _ranked(docs, raised, k, mean_length)
 
 
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,10 +40,14 @@ def test_many_shards_and_pruning(spark, monkeypatch):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(300)]
     docs = [(i, " ".join(rng.choices(words, [1 / (k + 1) for k in range(300)], k=rng.randint(1, 60)))) for i in range(1500)]
-    docs += [(1500 + i, docs[i][1]) for i in range(40)] + [(1600, None), (1601, ""), (None, "w1 w2")]
+    docs += [(1500 + i, docs[i][1]) for i in range(40)] + [(1600, None), (1601, ""), (None, "w1 w2"), (1620, " ".join(rng.choices(words, k=30_000)))]
     df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, score int").repartition(5)
     monkeypatch.setattr(search, "SHARD_BYTES", 9000)
-    monkeypatch.setattr(search, "SEED", 60)
+    monkeypatch.setattr(search, "SEED_SHARE", 8)
+    monkeypatch.setattr(search, "BLOCK_BITS", 4)
+    monkeypatch.setattr(search, "TILE_ROWS", 3)
+    monkeypatch.setattr(search, "SHARD_DOCS", 100)
+    monkeypatch.setattr(search, "TABLE_CELLS", 2000)
     monkeypatch.setattr(search, "QUERY_ROWS", 16)
     queries = [x for x in docs if x[0] is not None and x[0] % 20 == 0] + [(5000, "nothing here"), (5001, None)]
     q = spark.createDataFrame(queries, "query_id long, text string")
