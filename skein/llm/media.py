@@ -177,15 +177,21 @@ def _batched(rows, schema: pa.Schema, size: int = 5000):
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+METADATA = ("width", "height", "depth", "colour")
+INDEXED = INDEX + "".join(f", {c} bigint" for c in METADATA)
+
+
+def _arrow(columns: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in columns.split(", ")])
+
+
 def headers(index: DataFrame) -> DataFrame:
     """The index with width, height, depth and colour type, from range reads of 33 bytes for each image."""
-    extra = ("width", "height", "depth", "colour")
-    schema = pa.schema([*((c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in INDEX.split(", ")), *((c, pa.int64()) for c in extra)])
 
     def run(batches):
-        yield from _batched((r | dict(zip(extra, png_header(first))) for r, first in _ranges(batches, False)), schema)
+        yield from _batched((r | dict(zip(METADATA, png_header(first))) for r, first in _ranges(batches, False)), _arrow(INDEXED))
 
-    return _by_place(index, run, INDEX + "".join(f", {c} bigint" for c in extra))
+    return _by_place(index.select(*(c.split()[0] for c in INDEX.split(", "))), run, INDEXED)
 
 
 def feature(samples: bytes) -> str:
@@ -197,12 +203,11 @@ def feature(samples: bytes) -> str:
     return f"h={n // UNIT};mean={total // n};var={(square * n - total * total) // (n * n)};ahash={bits:016x}"
 
 
-DECODED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, shard string, offset bigint, width bigint, height bigint"
+DECODED = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, shard string, offset bigint" + "".join(f", {c} bigint" for c in METADATA)
 
 
-def decoded(index: DataFrame) -> DataFrame:
-    """Whole images read back from the shards: digests of payload and stored form, and features."""
-    schema = pa.schema([(c.split()[0], pa.string() if c.endswith("string") else pa.int64()) for c in DECODED.split(", ")])
+def decoded(indexed: DataFrame) -> DataFrame:
+    """Whole images read back from the shards: digests of payload and stored form, and features, beside the metadata that `headers` gave."""
 
     def run(batches):
         def rows():
@@ -210,18 +215,17 @@ def decoded(index: DataFrame) -> DataFrame:
             for r, stored in _ranges(batches, True):
                 if (r["shard"], r["offset"]) != last:
                     last, samples = (r["shard"], r["offset"]), from_png(stored)
-                    w, h, *_ = png_header(stored)
-                    made = {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature(samples), "width": w, "height": h}
-                    if made["payload_sha256"] != r["digest"]:
-                        raise ValueError(f"the bytes at {r['shard']}:{r['offset']} don't have the digest of their row")
-                yield {"doc_id": r["doc_id"], "n_bytes": r["n_bytes"], "shard": r["shard"], "offset": r["offset"]} | made
+                    made = {"payload_bytes": len(samples), "payload_sha256": hashlib.sha256(samples).hexdigest(), "tail_crc32": zlib.crc32(samples[-16:]), "media_bytes": len(stored), "media_sha256": hashlib.sha256(stored).hexdigest(), "feature": feature(samples)}
+                    if made["payload_sha256"] != r["digest"] or len(samples) != r["width"] * r["height"] * 3:
+                        raise ValueError(f"the bytes at {r['shard']}:{r['offset']} don't have the digest and size of their row")
+                yield {c: r[c] for c in ("doc_id", "n_bytes", "shard", "offset", *METADATA)} | made
 
-        yield from _batched(rows(), schema)
+        yield from _batched(rows(), _arrow(DECODED))
 
-    return _by_place(index, run, DECODED)
+    return _by_place(indexed, run, DECODED)
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents stored as images, and read back."""
+    """All documents stored as images, their metadata filled by header reads, and the images read back."""
     index = settled(store(table(spark, sf_dir, "documents"), shared_folder(spark, "media")), "media-index")
-    return decoded(index).drop("shard", "offset")
+    return decoded(settled(headers(index), "media-metadata")).drop("shard", "offset")
