@@ -3,14 +3,17 @@
 A shard holds the ids of its documents in a row, as unsigned 16- or 32-bit
 numbers, and where each document begins as an Elias-Fano code: the lower bits of
 all offsets in a packed array, the upper bits in unary, with the place of every
-256th one noted so that `select` (the offset of the k-th document) looks at one
-short stretch. For n documents over m ids this takes about 2 + log2(m / n) bits
-a document, without a table of 64-bit offsets. Shards follow one another in
-ascending document id; the manifest has how many ids come before each.
+256th one noted so that `select` (the offsets of documents in a row) decodes the
+stretches between those places and nothing else. For n documents over m ids this
+takes about 2 + log2(m / n) bits a document; no table of 64-bit offsets is stored
+or made. The document ids, which ascend too, are coded likewise. Shards follow one
+another in ascending document id; the manifest has how many ids come before each.
 
 Null text counts as empty and still has its end id. Rows whose id is null come
-first, in any order; repeated rows are kept. Extra columns are ignored. No rows
-give an empty manifest.
+first; rows with one id are ordered by a hash of their texts, so that a frequent
+id is dealt to several tasks; repeated rows are kept. A text of any length is
+encoded whole and makes its shard as long as it takes. Extra columns are ignored.
+No rows give an empty manifest.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import settled, shared_folder, ship, table, width
@@ -52,31 +56,24 @@ class EliasFano:
         flags[ones] = 1
         return cls(n, bits, lower, np.packbits(flags, bitorder="little"), ones[::SAMPLE].astype(np.uint64))
 
-    def select(self, k: int) -> int:
-        """The k-th value."""
-        if not 0 <= k < self.n:
-            raise IndexError(k)
-        at = int(self.samples[k // SAMPLE])
-        left, byte = k % SAMPLE, at >> 3
-        word = int(self.upper[byte]) >> (at & 7) << (at & 7)
-        while (ones := word.bit_count()) <= left:
-            left -= ones
-            byte += 1
-            word = int(self.upper[byte])
-        for _ in range(left):
-            word &= word - 1
-        high = (byte << 3) + (word & -word).bit_length() - 1 - k
-        first = k * self.bits
-        span = int.from_bytes(self.lower[first >> 3 : (first + self.bits + 7) >> 3].tobytes(), "little")
-        return high << self.bits | span >> (first & 7) & ((1 << self.bits) - 1)
-
-    def all(self) -> np.ndarray:
-        """All values, decoded at once."""
-        ones = np.flatnonzero(np.unpackbits(self.upper, bitorder="little"))[: self.n]
-        high = ones - np.arange(self.n)
+    def select(self, first: int, end: int | None = None) -> np.ndarray:
+        """The values from the first-th up to the end-th (or that one alone)."""
+        end = first + 1 if end is None else end
+        if not 0 <= first <= end <= self.n:
+            raise IndexError((first, end))
+        if first == end:
+            return np.zeros(0, np.int64)
+        noted, last = first // SAMPLE, -(-end // SAMPLE)
+        at = int(self.samples[noted]) >> 3
+        stop = (int(self.samples[last]) >> 3) + 1 if last < len(self.samples) else len(self.upper)
+        bits = np.unpackbits(self.upper[at:stop], bitorder="little")
+        bits[: int(self.samples[noted]) & 7] = 0
+        place = np.arange(first, end)
+        high = np.flatnonzero(bits)[first - noted * SAMPLE : end - noted * SAMPLE] + (at << 3) - place
         if not self.bits:
             return high
-        low = np.unpackbits(self.lower, bitorder="little")[: self.n * self.bits].reshape(self.n, self.bits).astype(np.int64)
+        a, b = first * self.bits, end * self.bits
+        low = np.unpackbits(self.lower[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].reshape(-1, self.bits).astype(np.int64)
         return (high << self.bits) | (low << np.arange(self.bits)).sum(axis=1)
 
     def to_bytes(self) -> bytes:
@@ -84,14 +81,14 @@ class EliasFano:
         return struct.pack("<QBQQQ", self.n, self.bits, self.lower.nbytes, self.upper.nbytes, len(self.samples)) + self.lower.tobytes() + self.upper.tobytes() + self.samples.astype("<u8").tobytes()
 
     @classmethod
-    def from_bytes(cls, raw: bytes) -> "EliasFano":
-        """The code in its stored form."""
+    def from_bytes(cls, raw: bytes) -> tuple["EliasFano", int]:
+        """The code in its stored form, and the bytes it takes."""
         n, bits, a, b, c = struct.unpack_from("<QBQQQ", raw)
         at = struct.calcsize("<QBQQQ")
-        return cls(n, bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u8", c, at + a + b))
+        return cls(n, bits, np.frombuffer(raw, np.uint8, a, at), np.frombuffer(raw, np.uint8, b, at + a), np.frombuffer(raw, "<u8", c, at + a + b)), at + a + b + 8 * c
 
 
-HEAD = "<8sBQQQ"  # magic, bytes of an id, documents, ids, bytes of the boundaries
+HEAD = "<8sBQQQQQQqq"  # magic, bytes of an id, documents, ids, bytes of the boundaries and of the document ids, null ids, ids below zero, least of those, least of the others
 MANIFEST = "part int, seq int, uri string, n_docs bigint, n_ids bigint, first_doc bigint"
 #: A shard is closed once it has this many ids.
 SHARD_IDS = 16 << 20
@@ -116,9 +113,12 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end: int = END, shard_i
             offsets = np.cumsum(sizes) - sizes
             key = pa.concat_arrays(keys)
             code = EliasFano.of(offsets).to_bytes()
-            nulls = np.packbits(key.is_null().to_numpy(zero_copy_only=False))
-            head = struct.pack(HEAD, MAGIC, 2 if unit == "<u2" else 4, len(sizes), held, len(code))
-            uri = write_once(folder, f"ids-{part_id:06d}-{seq:04d}", [head, code, nulls.tobytes(), key.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), *ids])
+            known = key.drop_null().to_numpy()
+            below, above = known[known < 0], known[known >= 0]
+            least = [int(x[0]) if len(x) else 0 for x in (below, above)]
+            names = EliasFano.of(below - least[0]).to_bytes() + EliasFano.of(above - least[1]).to_bytes()
+            head = struct.pack(HEAD, MAGIC, 2 if unit == "<u2" else 4, len(sizes), held, len(code), len(names), key.null_count, len(below), *least)
+            uri = write_once(folder, f"ids-{part_id:06d}-{seq:04d}", [head, code, names, *ids])
             row = {"part": part_id, "seq": seq, "uri": uri, "n_docs": len(sizes), "n_ids": held, "first_doc": key[0].as_py()}
             ids.clear()
             bounds.clear()
@@ -138,8 +138,8 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end: int = END, shard_i
         if keys:
             yield closed()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return rows.repartitionByRange(width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("__salt"))
+    return rows.repartitionByRange(width(docs.sparkSession), "doc_id", "__salt").sortWithinPartitions("doc_id", "__salt").drop("__salt").mapInArrow(run, MANIFEST)
 
 
 class Shard:
@@ -148,18 +148,33 @@ class Shard:
     def __init__(self, uri: str):
         self.file = read_at(uri)
         size = struct.calcsize(HEAD)
-        magic, self.unit, self.n_docs, self.n_ids, code = struct.unpack(HEAD, self.file.read_at(size, 0))
+        magic, self.unit, self.n_docs, self.n_ids, code, names, self.nulls, self.below, *self.least = struct.unpack(HEAD, self.file.read_at(size, 0))
         if magic != MAGIC:
             raise ValueError(f"not a shard of ids: {uri}")
-        self.bounds = EliasFano.from_bytes(self.file.read_at(code, size))
-        nulls = -(-self.n_docs // 8)
-        null = np.unpackbits(np.frombuffer(self.file.read_at(nulls, size + code), np.uint8))[: self.n_docs].astype(bool)
-        self.keys = pa.array(np.frombuffer(self.file.read_at(8 * self.n_docs, size + code + nulls), "<i8"), mask=null)
-        self.first = size + code + nulls + 8 * self.n_docs
+        self.bounds, _ = EliasFano.from_bytes(self.file.read_at(code, size))
+        raw = self.file.read_at(names, size + code)
+        below, used = EliasFano.from_bytes(raw)
+        self.names = below, EliasFano.from_bytes(raw[used:])[0]
+        self.first = size + code + names
+
+    def keys(self, first: int, end: int) -> pa.Array:
+        """The ids of the documents in those places."""
+        parts, at = [pa.nulls(max(0, min(end, self.nulls) - first), pa.int64())], self.nulls
+        for code, least in zip(self.names, self.least):
+            a, b = max(first, at) - at, min(end, at + code.n) - at
+            if a < b:
+                parts.append(pa.array(code.select(a, b) + least))
+            at += code.n
+        return pa.concat_arrays(parts)
+
+    def starts(self, first: int, end: int) -> np.ndarray:
+        """Where those documents begin in the shard, and where the last of them ends."""
+        return self.bounds.select(first, end + 1) if end < self.n_docs else np.append(self.bounds.select(first, end), self.n_ids)
 
     def span(self, k: int) -> tuple[int, int]:
         """Where the k-th document's ids begin and end in the shard."""
-        return self.bounds.select(k), self.bounds.select(k + 1) if k + 1 < self.n_docs else self.n_ids
+        a, b = self.starts(k, k + 1).tolist()
+        return a, b
 
     def ids(self, k: int) -> np.ndarray:
         """The ids of the k-th document."""
@@ -168,23 +183,21 @@ class Shard:
 
     def batches(self, docs: int = 4096):
         """Places, spans and ids of documents in a row, a few thousand at a time."""
-        starts = np.append(self.bounds.all(), self.n_ids)
         at = 0
         while at < self.n_docs:
-            end = max(at + 1, min(self.n_docs, at + docs, int(np.searchsorted(starts, starts[at] + (4 << 20), "right")) - 1))
-            a, b = int(starts[at]), int(starts[end])
-            yield at, starts[at : end + 1], np.frombuffer(self.file.read_at((b - a) * self.unit, self.first + a * self.unit), f"<u{self.unit}").astype("<u4")
-            at = end
+            starts = self.starts(at, min(self.n_docs, at + docs))
+            n = max(1, min(len(starts) - 1, int(np.searchsorted(starts, starts[0] + (4 << 20), "right")) - 1))
+            a, b = int(starts[0]), int(starts[n])
+            yield at, starts[: n + 1], np.frombuffer(self.file.read_at((b - a) * self.unit, self.first + a * self.unit), f"<u{self.unit}").astype("<u4")
+            at += n
 
 
 def placed(manifest: DataFrame) -> DataFrame:
-    """The manifest with `base`, the ids in all shards before. The manifest has a row a shard, so its order is settled on the driver."""
-    rows = sorted(manifest.collect(), key=lambda r: (r.part, r.seq))
-    out, base = [], 0
-    for r in rows:
-        out.append((r.uri, base, r.n_ids))
-        base += r.n_ids
-    return manifest.sparkSession.createDataFrame(out, "uri string, base long, n_ids long")
+    """The manifest with `base`, the ids in all shards before: sums within each writing task, and over the tasks (one row a task)."""
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    tasks = manifest.groupBy("part").agg(F.sum("n_ids").alias("__n")).select("part", F.coalesce(F.sum("__n").over(before.orderBy("part")), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum("n_ids").over(before.partitionBy("part").orderBy("seq")), F.lit(0))
+    return manifest.select("*", within.alias("__within")).join(tasks, "part").select("uri", (F.col("__base") + F.col("__within")).alias("base"), "n_ids")
 
 
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
@@ -204,7 +217,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     cuts = ((starts - starts[0]) * 4).tolist()
                     crc = [zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
                     n = len(crc)
-                    yield pa.RecordBatch.from_arrays([shard.keys.slice(at, n), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], schema=schema)
+                    yield pa.RecordBatch.from_arrays([shard.keys(at, at + n), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())], schema=schema)
 
     return placed(manifest).repartition(width(spark), "uri").select("uri", "base").mapInArrow(run, READ)
 
