@@ -5,8 +5,11 @@ are first cut into full windows; what remains of each document is placed, the
 longest first, into the open window with the least room that still takes it. A
 segment tree over the room left (one leaf for each amount) finds that window in
 logarithmic time. Every input partition packs its own documents in groups of at
-most GROUP pieces, so memory is bounded, there is no shuffle, and the padding
-that a group's last windows cost is a few parts in a thousand.
+most GROUP pieces, so memory is bounded and texts aren't shuffled. What a group
+leaves part-filled (windows with more than a hundredth of room) is packed once
+more: such windows' contents, each kept together, are dealt to tasks of about
+OPEN windows each and placed by the same rule, so padding doesn't depend on how
+many partitions the input has.
 
 Null text counts as empty and still has its end id. A document longer than a
 window spans several sequences; no piece does. Repeated rows are packed as often
@@ -25,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship, table
+from ..session import settled, ship, table
 from .lexing import chunks
 from .wordbpe import load
 
 WINDOW = 2048
 END = 1
-#: Pieces that are packed together at most.
-GROUP = 200_000
+#: Pieces that are packed together at most, and part-filled windows that are dissolved in one task, about.
+GROUP, OPEN = 200_000, 10_000
 
 
 class RoomTree:
@@ -106,25 +109,31 @@ def cut(doc_tokens: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nd
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
+#: Second-step sequence ids begin here; first-step ids are below.
+_AGAIN = 1 << 60
 
 
-def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, group: int = GROUP, tokenizer: Callable = load) -> DataFrame:
-    """One row for each piece: its document, place in it, digest, sequence and place in that."""
+def _base(context) -> int:
+    return (context.partitionId() if context else 0) << 36
+
+
+def packed_once(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, group: int = GROUP, tokenizer: Callable = load) -> DataFrame:
+    """One row for each piece, packed within input partitions, with `used`, the tokens of its sequence."""
     ship(docs.sparkSession)
 
     def run(batches):
-        context = TaskContext.get()
-        base, held, held_pieces = (context.partitionId() if context else 0) << 36, [], 0
+        base, held, held_pieces = _base(TaskContext.get()), [], 0
         encoder = tokenizer(vocabulary)
 
         def packed():
             nonlocal base
             ids, null, tokens, doc, start, length, crc = (np.concatenate(x) for x in zip(*held))
             at, offset, n = best_fit_decreasing(length, window)
+            used = np.bincount(at, length, n).astype(np.int64)[at]
             order = np.lexsort((offset, at))
-            cols = [pa.array(ids[doc], mask=null[doc]), *map(pa.array, (start, length, crc, tokens[doc], base + at, offset))]
+            cols = [pa.array(ids[doc], mask=null[doc]), *map(pa.array, (start, length, crc, tokens[doc], base + at, offset, used))]
             base += n
-            rows = pa.RecordBatch.from_arrays(cols, schema=_ARROW).take(pa.array(order))
+            rows = pa.RecordBatch.from_arrays(cols, schema=_ARROW.append(pa.field("used", pa.int64()))).take(pa.array(order))
             for k in range(0, rows.num_rows, 50_000):
                 yield rows.slice(k, 50_000)
 
@@ -148,7 +157,32 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END,
         if held:
             yield from packed()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA + ", used bigint")
+
+
+def packed_again(pieces: DataFrame, tasks: int, window: int = WINDOW) -> DataFrame:
+    """The pieces of part-filled sequences, dissolved and packed anew; a sequence's pieces go to one task."""
+
+    def run(batches):
+        base, held = _AGAIN + _base(TaskContext.get()), [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        at, offset, _ = best_fit_decreasing(rows.column("length").to_numpy(), window)
+        order = np.lexsort((offset, at))
+        cols = [c.combine_chunks() for c in rows.columns[:5]]
+        yield from pa.table([*cols, pa.array(base + at), pa.array(offset)], schema=_ARROW).take(pa.array(order)).to_batches(50_000)
+
+    return pieces.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(run, SCHEMA)
+
+
+def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end: int = END, group: int = GROUP, tokenizer: Callable = load) -> DataFrame:
+    """One row for each piece: its document, place in it, digest, sequence and place in that."""
+    pieces = settled(packed_once(docs, vocabulary, window, end, group, tokenizer), "pieces")
+    part_filled = f"used * 100 < {window * 99}"
+    windows, rows = pieces.where(part_filled).agg(F.count_distinct("sequence_id"), F.count("*")).first()
+    again = packed_again(pieces.where(part_filled), max(-(-windows // OPEN), -(-rows // group), 1), window)
+    return pieces.where(f"not ({part_filled})").drop("used").unionByName(again)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,7 +57,14 @@ def check_rows(rows, docs, window=2048):
 
 def test_query_covers_every_id_once(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert check_rows(packing.op9_packing(spark, sf).collect(), docs) > 0.95
+    assert check_rows(packing.op9_packing(spark, sf).collect(), docs) > 0.98
+
+
+def test_little_padding_for_any_partitioning(spark, sf):
+    docs = spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for n in (1, 64, 211):
+        assert check_rows(packing.pack(docs.repartition(n), public_tokenizers.path("word_bpe_49k.json")).collect(), texts) > 0.99
 
 
 def test_edge_rows(spark):
