@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 from skein.llm.html import extract, op1_html, pages_text
 
@@ -15,6 +16,49 @@ def test_layout():
     assert extract("<dl><dt>t<dd>d<dt>u</dl>") == "t\n  d\nu"
 
 
+def test_cells():
+    assert extract("<table><tr><td><ul><li>x<li>y</ul><td>z<tr><td>a<td>b</table>") == "- x  z\n- y\na    b"
+    assert extract("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>") == "a  b\n   c"
+    assert extract("<table><tr><td colspan=2>wide title<tr><td>a<td>b</table>") == "wide title\na  b"
+    assert extract("<table><tr><td>a<td><table><tr><td>p<td>q<tr><td>rr<td>s</table><tr><td>c<td>d</table>") == "a  p   q\n   rr  s\nc  d"
+    assert extract("<table><tr><td>a<br>b<td>c</table>") == "a  c\nb"
+    deep = "<table><tr><td>a" * 40 + "<td>b" + "</table>" * 40
+    assert sorted("".join(extract(deep).split())) == ["a"] * 40 + ["b"]
+
+
+def test_what_is_shown():
+    assert extract("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b></div>c") == "b\nc"
+    assert extract("<details><summary>s</summary>x</details><details open><summary>t</summary>y</details>") == "s\nt\ny"
+    style = "<style>.x, #k {display:none} p.y{visibility:hidden} /* .z{display:none} */ @media print {.w{display:none}} .u .v{display:none}</style>"
+    assert extract(style + "<i class='q x'>1</i><i id=k>2</i><p class=y>3</p><i class=y>4</i><i class=z>5</i><i class=w>6</i><i class=v>7</i>") == "4567"
+    assert extract("<style>i{display:none}</style><i style='display:inline'>a</i><i>b</i>") == "a"
+
+
+def test_hostile_markup_in_linear_time():
+    def took(markup):
+        began = time.perf_counter()
+        extract(markup)
+        return time.perf_counter() - began
+
+    n = 30_000
+    makers = [
+        lambda n: "<a " * n, lambda n: "<td><p><button>" + "<div>" * n, lambda n: "<a '>" * n + '"', lambda n: "<ul><li>x" * n, lambda n: "<table><td>" * n + "x" * n,
+        lambda n: "<table>" + "<td colspan=1000 rowspan=0>" * n + "<tr><td>" * n, lambda n: "<table><tr><td>" + "x" * n + "<tr><td>a<td>b" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<!--" * n, lambda n: "<a b" + " " * n + "c>", lambda n: "<p>" * n + "</p>" * n,
+        lambda n: "<blockquote>a" * n, lambda n: "<table><tr>" * n + "</table>" * n, lambda n: "<script>" * n, lambda n: "<style>" + "a{" * n, lambda n: "&#" * n + "1" * n, lambda n: "<x y='" * n,
+    ]
+    for make in makers:
+        small, large = max(took(make(n // 4)), 0.02), took(make(n))
+        assert large < 14 * small, (make(2), small, large)
+
+
+def test_hostile_values():
+    for span in ("²", "9" * 5000, "-1", "", " 2 ", "x", "0"):
+        assert extract(f'<table><tr><td colspan="{span}" rowspan="{span}">a<td>b</table>').split() == ["a", "b"]
+    assert extract("<ol start='²'><li>a</ol>") == "1. a"
+    assert extract("&#" + "9" * 5000 + ";x &#" + "0" * 5000 + "65;") == "\ufffdx A"
+    assert extract("a<b title='>x</b>c") == "axc"
+
+
 def test_visibility_and_broken_markup():
     assert extract("<head><title>no</title><body>a<script>var t='</p>';</script><style>p{}</style><!-- c -->b") == "ab"
     assert extract("<p hidden>x</p><p style='display: none'>y</p><div style=\"visibility:hidden\">z</div>k") == "k"
