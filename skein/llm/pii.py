@@ -5,7 +5,9 @@ Each detector is a regular expression; what it proposes must pass a validator
 which words nearby raise or lower. A span is reported if its score reaches the
 threshold. The four base kinds (email, ip, card, phone) are fixed by their
 patterns and validators alone and are always reported; context only moves their
-score. The further kinds (iban, ssn, mac) need what is stated with each.
+score. The further kinds (iban, ssn, mac, secret) need what is stated with each: a
+checksum, a valid number, a fixed form, or for secrets (long runs of mixed
+characters) a word nearby that says so. Context words count whole or not at all.
 
 Null text counts as empty; rows with null ids are kept; extra columns of the
 input are ignored. Texts of any length are scanned whole, in time linear in
@@ -28,7 +30,7 @@ from .lexing import chunks
 
 #: The base kinds in the order in which spans are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
-EXTRA_KINDS = ("iban", "ssn", "mac")
+EXTRA_KINDS = ("iban", "ssn", "mac", "secret")
 KINDS = BASE_KINDS + EXTRA_KINDS
 
 #: A span is reported from this score on.
@@ -47,6 +49,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _MAC = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
 #: What every kind needs one of: a digit, an @ sign, or the colons of a MAC address, which can be all letters.
 _TRIGGER = re.compile(r"[0-9@]|:[A-Fa-f]{2}:")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -61,10 +64,11 @@ CONTEXT = {
     "iban": {"iban", "account", "bank", "konto", "compte", "cuenta"},
     "ssn": {"ssn", "social", "security", "taxpayer"},
     "mac": {"mac", "device", "hardware", "adapter"},
+    "secret": {"token", "secret", "password", "passwd", "apikey", "key", "credential", "credentials", "bearer"},
 }
 AGAINST = {"version", "isbn", "example", "invoice", "order", "serial", "model", "part"}
 #: What a confirmed proposal scores before context is read.
-START = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.95, "ssn": 0.2, "mac": 0.6}
+START = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.95, "ssn": 0.2, "mac": 0.6, "secret": 0.3}
 
 
 @dataclass(frozen=True)
@@ -131,15 +135,34 @@ def _proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 8 <= len(_digits(m[0])) <= 15:
                 yield "phone", *m.span()
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", *m.span()
+    at = 0
+    while m := _IBAN.search(text, at):
+        # a capital word that follows may have been taken in: the code may end at any blank
+        at, end = m.start() + 4, m.end()
+        while end > m.start():
+            if 15 <= len(code := text[m.start() : end].replace(" ", "")) <= 34 and mod97(code):
+                yield "iban", m.start(), end
+                at = end
+                break
+            end = text.rfind(" ", m.start(), end)
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
             yield "ssn", *m.span()
     if ":" in text:
         for m in _MAC.finditer(text):
             yield "mac", *m.span()
+    for m in _SECRET.finditer(text):
+        kinds = [any(map(test, m[0])) for test in (str.isdigit, str.isalpha)]
+        if all(kinds) and len(set(m[0].lower())) >= 8:
+            yield "secret", *m.span()
+
+
+def _near(text: str, s: int, e: int) -> set[str]:
+    """The words of which no part lies farther than WINDOW from the span."""
+    left, right = max(0, s - WINDOW), min(len(text), e + WINDOW)
+    before = [m for m in _WORDS.finditer(text, left, s) if m.start() > left or left == 0 or not _WORDS.match(text[left - 1])]
+    after = [m for m in _WORDS.finditer(text, e, right) if m.end() < right or right == len(text) or not _WORDS.match(text[right])]
+    return {m[0].lower() for m in before + after}
 
 
 def find(text: str | None) -> list[Span]:
@@ -149,7 +172,7 @@ def find(text: str | None) -> list[Span]:
     out = []
     for kind, s, e in _proposed(text):
         score = START[kind]
-        near = {w.lower() for w in _WORDS.findall(text[max(0, s - WINDOW) : s])} | {w.lower() for w in _WORDS.findall(text[e : e + WINDOW])}
+        near = _near(text, s, e)
         if near & CONTEXT[kind]:
             score = min(1.0, score + RAISE)
         if near & AGAINST:
@@ -200,12 +223,12 @@ def detect(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans and all spans as text, from `spans`."""
+    """Counts of the base kinds, the digest of the base spans, all spans as text and their scores, from `spans`."""
     said = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     of = lambda *kinds: F.filter("spans", lambda x: x["kind"].isin(*kinds))
     base = of(*BASE_KINDS)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
 def reference_digest(text: str | None) -> str:

@@ -67,3 +67,23 @@ def test_addresses_of_letters_alone():
     for t in ("FF:FF:FF:FF:FF:FF", "adapter aa:bb:cc:dd:ee:ff"):
         (x,) = pii.find(t)
         assert x.kind == "mac" and t[x.start : x.end] == t.split()[-1] and pii.redact(t, [x]).endswith("[MAC]")
+
+
+def test_context_words_count_whole():
+    assert not pii.find("antisocial" + "z" * 40 + " 123-45-6789") and not pii.find("123-45-6789 " + "z" * 41 + "socialite")
+    assert [x.kind for x in pii.find("social 123-45-6789")] == ["ssn"]
+    t = "x" * 100 + " social " + "y" * (pii.WINDOW - 9) + " 123-45-6789"
+    assert [x.kind for x in pii.find(t)] == ["ssn"]
+
+
+def test_ibans_before_capital_words():
+    t = "BE68 5390 0754 7034 IBAN GB82 WEST 1234 5698 7654 32 OK"
+    assert [t[x.start : x.end] for x in pii.find(t) if x.kind == "iban"] == ["BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"]
+
+
+def test_secrets_need_a_word_that_says_so():
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for t, found in ((f'token = "{key}"', True), (f'TOKEN = "{key.upper()}" x', True), (f"commit {key}", False), ("token " + "a" * 40, False), ("token " + "a1" * 20, False)):
+        assert [x.kind for x in pii.find(t)] == ["secret"] * found
+    t = f'a token = "{key}" b'
+    assert pii.redact(t, pii.find(t)) == 'a token = "[SECRET]" b'
