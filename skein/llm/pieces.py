@@ -7,12 +7,14 @@ runs of blanks), the marker that stands for a space, unigram scores or the merge
 pair scores imply, and byte fallback.
 
 Where no piece has a marker after another character, a text's ids are those of
-its words in a row, so each distinct word of a batch is encoded once. Parity
-with the sentencepiece library is verified on every whole document, and decoding
-is checked against the text.
-
-Null and empty texts have no ids. Repeated rows give equal results; rows with
-null ids are kept; extra columns are ignored.
+its words in a row, so each distinct word is encoded once, in batches on several
+threads; other texts are encoded whole, in batches too. Parity with the
+sentencepiece library is verified on every whole document; where it fails, the
+row says so and its ids are sentencepiece's. Decoding is checked against the text.
+Models with user-defined pieces or with the marker behind words are refused.
+
+Null and empty texts have no ids. Texts of any length are encoded whole. Repeated
+rows give equal results; rows with null ids are kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +76,7 @@ class Spec:
     model_type: int = UNIGRAM
     byte_fallback: bool = False
     unk_id: int = 0
+    marker_behind: bool = False
     charsmap: bytes = b""
     dummy_prefix: bool = True
     remove_extra: bool = True
@@ -102,6 +105,8 @@ def read_model(raw: bytes) -> Spec:
                     spec.byte_fallback = bool(v)
                 elif k == 40:
                     spec.unk_id = v
+                elif k == 24:
+                    spec.marker_behind = bool(v)
         elif number == 3:
             for k, v in fields(value):
                 if k == 2:
@@ -131,6 +136,8 @@ def build(spec: Spec):
     """An encoder of the tokenizers library for the model."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+    if spec.marker_behind or any(kind == USER_DEFINED for _, _, kind in spec.pieces):
+        raise ValueError("models with user-defined pieces or with the marker behind words are not supported")
     if spec.model_type == UNIGRAM:
         model = models.Unigram([(p, s) for p, s, _ in spec.pieces], spec.unk_id, spec.byte_fallback)
     elif spec.model_type == BPE:
@@ -141,7 +148,7 @@ def build(spec: Spec):
     if spec.charsmap:
         steps.append(normalizers.Precompiled(spec.charsmap))
     if spec.remove_extra:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if spec.dummy_prefix:
         steps.append(normalizers.Prepend(" "))
     if spec.escape:
@@ -164,8 +171,7 @@ class PieceModel(Pieces):
         super().__init__(build(self.spec))
         # word by word is exact if a marker only ever begins a piece (or follows another marker)
         inner = any(MARKER in p.lstrip(MARKER) for p, _, kind in self.spec.pieces if kind in (NORMAL, USER_DEFINED))
-        special = any(kind == USER_DEFINED for _, _, kind in self.spec.pieces)
-        self.by_word = self.spec.model_type == BPE and not (inner or special or self.spec.charsmap or self.spec.remove_extra) and self.spec.dummy_prefix and self.spec.escape
+        self.by_word = self.spec.model_type == BPE and not (inner or self.spec.charsmap or self.spec.remove_extra) and self.spec.dummy_prefix and self.spec.escape
         self.judge = sentencepiece.SentencePieceProcessor(model_file=path)
         raw = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(MARKER, " ").encode() for p, _, kind in self.spec.pieces]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -243,11 +249,11 @@ def encoded(docs: DataFrame, model: str) -> DataFrame:
                 ids, off = m.encode(texts)
                 strings = texts.to_pylist()
                 rows = [ids[a:b] for a, b in zip(off.tolist(), off[1:].tolist())]
-                said = m.judge.encode(strings, num_threads=1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(off)), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array([len(r) == len(s) and bool((r == np.asarray(s, np.uint32)).all()) for r, s in zip(rows, said)]), pa.array([m.decode(r) == t for r, t in zip(rows, strings)])],
-                    ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"],
-                )
+                said = [np.asarray(s, np.uint32) for s in m.judge.encode(strings, num_threads=1)]
+                parity = [np.array_equal(r, s) for r, s in zip(rows, said)]
+                rows = [r if same else s for r, s, same in zip(rows, said, parity)]
+                columns = [part.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(r.astype("<u4").tobytes()) for r in rows], pa.int64()), pa.array(parity, pa.bool_()), pa.array([m.decode(r) == t for r, t in zip(rows, strings)], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 

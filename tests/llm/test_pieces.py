@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import sentencepiece
 
 from skein.llm import pieces
@@ -35,7 +36,9 @@ def test_query_equals_the_library(spark, sf):
         assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) and r.parity and r.round_trip
 
 
-def test_unigram_model_is_rebuilt():
+def unigram(normaliser=b"\x18\x01\x20\x00\x28\x01", trainer=b"", more=()):
+    """A small unigram model with byte fallback."""
+
     def message(*parts):
         return b"".join(parts)
 
@@ -51,8 +54,13 @@ def test_unigram_model_is_rebuilt():
     def piece(text, score, kind):
         return part(1, message(part(1, text.encode()), b"\x15" + np.float32(score).tobytes(), b"\x18" + number(kind)))
 
-    vocabulary = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{i:02X}>", 0, 6) for i in range(256)), ("▁", -2, 1), ("a", -3, 1), ("b", -3.5, 1), ("▁a", -2.5, 1), ("ab", -4, 1), ("▁ab", -4.2, 1), ("ba", -4.5, 1)]
-    raw = b"".join(piece(*v) for v in vocabulary) + part(2, b"\x18\x01" + number(35 << 3) + b"\x01") + part(3, b"\x18\x01\x20\x00\x28\x01")
+    vocabulary = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), *((f"<0x{i:02X}>", 0, 6) for i in range(256)), ("▁", -2, 1), ("a", -3, 1), ("b", -3.5, 1), ("▁a", -2.5, 1), ("ab", -4, 1), ("▁ab", -4.2, 1), ("ba", -4.5, 1), *more]
+    raw = b"".join(piece(*v) for v in vocabulary) + part(2, b"\x18\x01" + number(35 << 3) + b"\x01" + trainer) + part(3, normaliser)
+    return raw
+
+
+def test_unigram_model_is_rebuilt():
+    raw = unigram()
     judge = sentencepiece.SentencePieceProcessor(model_proto=io.BytesIO(raw).getvalue())
     spec = pieces.read_model(raw)
     assert spec.model_type == pieces.UNIGRAM and spec.byte_fallback and not spec.remove_extra
@@ -61,6 +69,30 @@ def test_unigram_model_is_rebuilt():
         assert tok.encode(t, add_special_tokens=False).ids == judge.encode(t), t
 
 
+def test_extra_blanks_go_as_sentencepiece_has_them(tmp_path, spark):
+    raw = unigram(b"\x18\x01\x20\x01\x28\x01")
+    judge = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    tok = pieces.build(pieces.read_model(raw))
+    texts = ["\ta", "a\n", "  a   b ", "\n a", " \t ab \n ", "a\n\n  b", ""]
+    for t in texts:
+        assert tok.encode(t, add_special_tokens=False).ids == judge.encode(t), t
+    (tmp_path / "m.model").write_bytes(raw)
+    rows = pieces.encoded(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), str(tmp_path / "m.model")).collect()
+    assert all(r.parity and r.n_tokens == len(judge.encode(texts[r.doc_id])) for r in rows)
+
+
+def test_models_that_cannot_be_rebuilt_are_refused():
+    for raw in (unigram(trainer=b"\xc0\x01\x01"), unigram(more=[("own", 0, 4)])):
+        with pytest.raises(ValueError, match="not supported"):
+            pieces.build(pieces.read_model(raw))
+
+
+def test_very_long_text(spark):
+    text = "some words of text, 123 and more. " * 20_000
+    (r,) = pieces.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), MODEL).collect()
+    assert r.parity and r.round_trip and r.n_tokens > 100_000
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (1, ""), (2, "x y"), (2, "x y")], "doc_id long, text string").selectExpr("*", "1 as parity")
     rows = pieces.encoded(df, MODEL).collect()
