@@ -163,6 +163,8 @@ def build(spec: Spec):
 class PieceModel(Pieces):
     """Encoder and decoder for one model file; use `load`."""
 
+    item = 2000
+
     def __init__(self, path: str):
         import sentencepiece
 

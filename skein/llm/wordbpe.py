@@ -4,7 +4,7 @@ The library's own pipeline (normalise, split, byte-pair merges) tracks offsets
 for every character and so takes about a CPU second per MB. A BPE that splits
 into words first gives each word its ids regardless of the words around it, so
 here texts are cut into the very pieces the library's splitter cuts, and the
-library encodes each distinct piece once, in batches on several threads. The character tables come from the
+library encodes each distinct piece once. The character tables come from the
 library's normaliser and splitter; a text with any character for which a table
 cannot be exact (beyond U+02FF, apostrophes, marks of special tokens, letters
 whose lower case differs between libraries) is encoded whole by the library.
@@ -25,13 +25,14 @@ SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 TABLE = 0x300
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 400_000
-#: Pieces in each item of a batch that the library encodes on several threads.
-LIST = 2000
 
 
 class Pieces:
     """Ids of distinct pieces of text, each encoded by the library once and then remembered."""
 
+    #: Pieces in each item of a batch, of which the library encodes several at once on threads; all pieces in one item take one thread.
+    item = 1 << 62
+
     def __init__(self, tok):
         self.tok = tok
         self.known: dict[bytes, int] = {}
@@ -49,8 +50,8 @@ class Pieces:
 
     def _learn(self, words: list[bytes]) -> None:
         spelled = list(map(self.spelled, words))
-        lists = [spelled[i : i + LIST] for i in range(0, len(spelled), LIST)]
-        done = self.tok.encode_batch(lists, is_pretokenized=True, add_special_tokens=False)
+        lists = [spelled[i : i + self.item] for i in range(0, len(spelled), self.item)]
+        done = self.tok.encode_batch(lists, is_pretokenized=True, add_special_tokens=False) if len(lists) > 1 else [self.tok.encode(lists[0], is_pretokenized=True, add_special_tokens=False)]
         ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in done])
         count = np.concatenate([np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(x)) for e, x in zip(done, lists)])
         base, n = len(self.flat), len(self.first)
