@@ -26,14 +26,15 @@ def build_session(name: str = "skein", cores: str = "*", partitions: int = 8, **
     return SparkSession.builder.master(f"local[{cores}]").appName(name).config(map=conf).getOrCreate()
 
 
-#: Rows that pass to a Python worker at once; texts are long, so fewer than Spark's default.
-BATCH_ROWS = 2000
+#: Rows and bytes that pass to a Python worker at once; texts are long, so fewer than Spark's default.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application, and bounds their batches."""
     sc = spark.sparkContext
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_skein_shipped", False):
         return
     root = Path(__file__).resolve().parent
@@ -54,11 +55,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """The URI of a new folder that the driver and all executors see.
 
     It lies in the folder that the cluster names in spark.checkpoint.dir. Only
-    where that is unset, as in tests on one machine, a local one is set.
+    where that is unset and Spark runs on one machine, as in tests, a local one is
+    set; on a cluster without such a folder this fails.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
         sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
