@@ -33,6 +33,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -45,9 +46,9 @@ from .lexing import buffer_of, chunks, distinct_words, runs, spread, words_array
 
 TOP, K1, B = 10, 1.2, 0.75
 #: Bytes of text and documents in a shard, documents in a block (two to this power), queries read and queries scored at once.
-SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 24 << 20, 16384, 10, 512, 64
+SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 24 << 20, 16384, 10, 512, 128
 #: Bytes of text of which terms are counted at once; one in how many documents the first round takes.
-COUNT_BYTES, SEED_SHARE = 12 << 20, 64
+COUNT_BYTES, SEED_SHARE = 12 << 20, 16
 #: A term is common if one in so many documents of a shard has it; runs from which a term has a row of block maxima; clusters.
 TABLE_SHARE, ROW_RUNS, KINDS = 32, 4, 8
 #: Cells of a shard's table, which bounds its memory: beyond them the next frequent terms are treated as the rarer ones.
@@ -173,7 +174,8 @@ class Shard:
                 live = np.flatnonzero([p.live[b] for p in plans])
                 here = self.table[:, b << BLOCK_BITS : b + 1 << BLOCK_BITS]
                 if len(live) and here.size:
-                    tile[live, b << BLOCK_BITS : (b << BLOCK_BITS) + here.shape[1]] = common[live] @ here
+                    ours = slice(None) if len(live) == len(some) else live
+                tile[ours, b << BLOCK_BITS : (b << BLOCK_BITS) + here.shape[1]] = common[ours] @ here
             out += [self._scored(p, *x, tile[q], k) if p.live.any() else [] for q, (x, p) in enumerate(zip(some, plans))]
         return out
 
@@ -294,7 +296,7 @@ def term_statistics(docs: DataFrame) -> DataFrame:
 
     def counted(texts: pa.Array):
         text, code, terms = terms_of(texts)
-        pair = np.unique(code.astype(np.int64) * max(len(texts), 1) + text) // max(len(texts), 1)
+        pair = pd.unique(code.astype(np.int64) * max(len(texts), 1) + text) // max(len(texts), 1)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([len(texts)]), pa.array([len(code)])], ["term", "n", "words"])
         yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(pair, minlength=len(terms))), pa.array(np.zeros(len(terms), np.int64))], ["term", "n", "words"])
 
