@@ -46,11 +46,11 @@ from .lexing import buffer_of, chunks, distinct_words, runs, spread, words_array
 
 TOP, K1, B = 10, 1.2, 0.75
 #: Bytes of text and documents in a shard, documents in a block (two to this power), queries read and queries scored at once.
-SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 24 << 20, 16384, 10, 512, 128
+SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 32 << 20, 16384, 10, 512, 128
 #: Bytes of text of which terms are counted at once; one in how many documents the first round takes.
 COUNT_BYTES, SEED_SHARE = 12 << 20, 16
-#: A term is common if one in so many documents of a shard has it; runs from which a term has a row of block maxima; clusters.
-TABLE_SHARE, ROW_RUNS, KINDS = 32, 4, 8
+#: A term is common if one in so many documents of a shard has it; runs from which a term has a row of block maxima; clusters, and terms that they go by.
+TABLE_SHARE, ROW_RUNS, KINDS, KIND_TERMS = 32, 4, 8, 256
 #: Cells of a shard's table, which bounds its memory: beyond them the next frequent terms are treated as the rarer ones.
 TABLE_CELLS = 1 << 24
 #: Share of the threshold that may stay unopened. Bounds are sums in single precision, so scores this near below the threshold are looked at too.
@@ -122,17 +122,22 @@ class Shard:
         text, code, terms = terms_of(texts)
         n, v = max(len(ids), 1), len(terms)
         length = np.bincount(text, minlength=n)
-        key, tf = np.unique(code.astype(np.int64) * n + text, return_counts=True)
+        text += code * np.int64(n)
+        del code
+        key, tf = np.unique(text, return_counts=True)
+        del text
         term, doc = key // n, key % n
+        del key
         found = np.bincount(term, minlength=v)
         most = np.argsort(-found, kind="stable")[: TABLE_CELLS // n]
         common = np.sort(most[found[most] * TABLE_SHARE >= n])
-        by_kind = np.lexsort((length, _kinds(term, doc, common, n)))
+        by_kind = np.lexsort((length, _kinds(term, doc, np.sort(most[:KIND_TERMS][found[most[:KIND_TERMS]] * TABLE_SHARE >= n]), n)))
         rank = np.empty(n, np.int64)
         rank[by_kind] = np.arange(n)
         doc, length = rank[doc], length[by_kind]
         order = np.argsort(term * n + doc, kind="stable")
         doc, tf = doc[order], tf[order]
+        del order
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
         block, blocks = doc >> BLOCK_BITS, (n - 1 >> BLOCK_BITS) + 1
         run_at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
@@ -154,7 +159,7 @@ class Shard:
         by_doc = np.argsort(doc, kind="stable")
         doc_first = np.searchsorted(doc[by_doc], np.arange(n + 1))
         term_max = np.maximum.reduceat(run_max, run_first[:-1]) if v else run_max
-        return cls(ids[by_kind], terms, blocks, doc, impact, run_first, np.append(run_at, len(doc)), run_block.astype(np.int32), run_max.astype(np.float32), term_max, row, row_max, row_run, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v))
+        return cls(ids[by_kind], terms, blocks, doc.astype(np.int32), impact, run_first, np.append(run_at, len(doc)), run_block.astype(np.int32), run_max.astype(np.float32), term_max, row, row_max, row_run, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v))
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[float, int]]]:
         """(score, id) of the best k documents for each query (terms, weights, least score); terms are codes of this shard."""
@@ -175,7 +180,7 @@ class Shard:
                 here = self.table[:, b << BLOCK_BITS : b + 1 << BLOCK_BITS]
                 if len(live) and here.size:
                     ours = slice(None) if len(live) == len(some) else live
-                tile[ours, b << BLOCK_BITS : (b << BLOCK_BITS) + here.shape[1]] = common[ours] @ here
+                    tile[ours, b << BLOCK_BITS : (b << BLOCK_BITS) + here.shape[1]] = common[ours] @ here
             out += [self._scored(p, *x, tile[q], k) if p.live.any() else [] for q, (x, p) in enumerate(zip(some, plans))]
         return out
 
@@ -271,12 +276,12 @@ def searched(shard: Shard, queries: pa.Table, k: int, least: np.ndarray):
     return zip(met, shard.search(asked, k))
 
 
-def _shards(batches, mean_length: float):
-    """Shards of a task's rows (doc_id, text)."""
+def _shards(batches):
+    """Ids and texts of a task's shards, from its rows (doc_id, text)."""
     ids, texts, size, rows = [], [], 0, 0
 
     def made():
-        return Shard.of(np.concatenate(ids), pa.concat_arrays(texts), mean_length)
+        return np.concatenate(ids), pa.concat_arrays(texts)
 
     for batch in batches:
         for part, text in chunks(batch, "text"):
@@ -353,7 +358,9 @@ def _ranked(docs: DataFrame, folder: str, k: int, mean_length: float) -> DataFra
 
     def search(batches):
         known: dict[int, np.ndarray] = {}  # thresholds by block of queries, as the task's shards have raised them
-        for shard in _shards(batches, mean_length):
+        for keys, texts in _shards(batches):
+            shard = Shard.of(keys, texts, mean_length)
+            del keys, texts
             for block, some in _blocks(folder):
                 ids = some.column("query_id").to_pylist()
                 least = known.setdefault(block, np.nan_to_num(some.column("least").to_numpy().astype(float)))
@@ -364,6 +371,7 @@ def _ranked(docs: DataFrame, folder: str, k: int, mean_length: float) -> DataFra
                         least[i] = max(least[i], found[-1][0])
                 if rows:
                     yield _packed(block, rows)
+            del shard  # before the next one is made
 
     def merge(batches):
         now, best = None, {}
@@ -409,9 +417,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     at = shared_folder(spark, "search-queries")
     plain.withColumn("least", F.lit(0.0)).write.parquet(at)
 
-    # the first round: every SEED_SHARE-th document, in shards of the usual size
+    # the first round: every SEED_SHARE-th document
     seed = docs.where(f"doc_id is not null and pmod(xxhash64(doc_id), {SEED_SHARE}) = 0")
-    seeds = settled(seed.repartition(-(-n // SEED_SHARE // SHARD_DOCS) or 1), "search-seed")
+    seeds = settled(seed.repartition(-(-4 * n // SEED_SHARE // SHARD_DOCS) or 1), "search-seed")
     least = _ranked(seeds, at, k, mean_length).where(f"rank = {k}").select("query_id", F.col("score").alias("least"))
     raised = shared_folder(spark, "search-queries")
     spark.read.parquet(at).drop("least").join(least, "query_id", "left").write.parquet(raised)

@@ -3,6 +3,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from skein.llm import search
 
 
@@ -53,3 +57,22 @@ def test_many_shards_and_pruning(spark, monkeypatch):
     q = spark.createDataFrame(queries, "query_id long, text string")
     close(sorted(map(tuple, search.top_k(df, q, 7).collect())), brute(docs, queries, 7))
     assert search.top_k(df.limit(0), q).count() == 0 and search.top_k(df, q.limit(0)).count() == 0
+
+
+def test_blocks_that_no_query_of_a_tile_needs():
+    rng = random.Random(8)
+    docs = [" ".join(rng.choices([f"{kind}{i}" for i in range(30)], k=12)) for kind in "ab" for _ in range(200)]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(search, "BLOCK_BITS", 3)
+        m.setattr(search, "TABLE_SHARE", 100)
+        shard = search.Shard.of(np.arange(400), pa.array(docs, pa.large_string()), 12.0)
+        assert len(shard.table) > 20
+        place = {w.decode(): i for i, w in enumerate(shard.terms.to_pylist())}
+        asked = [(np.array([place[w] for w in sorted(set(docs[i].split()))]), np.ones(len(set(docs[i].split()))), least) for i in (0, 250, 3, 399) for least in (0.0, 4.0, 9.0)]
+        every = shard.search([(t, w, 0.0) for t, w, _ in asked], 400)
+        assert [x[:5] for x in every] == [[y for y in x][:5] for x in shard.search([(t, w, 0.0) for t, w, _ in asked], 5)]
+        for whole, (t, w, least), got in zip(every, asked, shard.search(asked, 5)):
+            assert got == [x for x in whole if x[0] >= least - search.SLACK][:5]
+            counts = {i: sum(1 for v in t.tolist() if shard.terms[v].as_py().decode() in docs[i].split()) for _, i in got}
+            assert all(counts.values())
+            assert shard.search([(t, w, least)], 5) == [got]  # alone, blocks of the other kind are needed by none
