@@ -17,8 +17,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     The documents are those whose hashed ids are smallest, so the sample does not
     depend on partitions. Only ids are gathered to choose them; the list that is
     then broadcast has at most the sum of the bounds. Of several labels for one id
-    the largest counts; a text that occurs several times for one id is used as
-    often.
+    the largest counts, of several texts the first in order, so repeated rows make
+    the sample no larger.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).where(remainder("doc_id", folds) != held)
@@ -26,4 +26,5 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
     for value, n in bounds.items():
         ids += known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(F.col("doc_id").cast("long"), "label").collect()
     chosen = spark.createDataFrame(ids, "doc_id long, label int")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")

@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline as cp
 from skein.llm import quality, toxicity
 from skein.session import table
@@ -18,7 +20,7 @@ def test_run_equals_brute_force(spark, sf):
     for r in good:
         if group[r.doc_id][1] == r.doc_id:
             text, shift = r.text, 0
-            for kind, s, e in sorted(((k, int(s), int(e)) for k, s, e in (x.split(":") for x in plain_pii(r.text))), key=lambda x: (x[1], -x[2])):
+            for kind, s, e in sorted(((k, int(s), int(e)) for k, s, e in (x.split(":") for x in plain_pii(r.text) + [f"secret:{m.start(1)}:{m.end(1)}" for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)])), key=lambda x: (x[1], -x[2])):
                 if s + shift >= 0:
                     left.setdefault(r.doc_id, []).append((s, e, kind))
             spans, done, out = left.get(r.doc_id, []), 0, []
@@ -34,11 +36,15 @@ def test_run_equals_brute_force(spark, sf):
 def test_stages_keep_columns_and_edge_rows(spark, sf):
     rows = [(None, None, None, None, None, 1), (1, "", "en", "s", 0, 2), (2, "call +1 (017) 555-7713 now please ok", "en", "s", 36, 3), (2, "call +1 (017) 555-7713 now please ok", "en", "s", 36, 3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score int")
+    long = spark.createDataFrame([(7, "word " * 60_000 + "a.b@c.de", "en", "s", 300_008, 0)], df.schema)
     for name, stage in cp.STAGES[:-1]:
+        assert stage(spark, long, sf).count() <= 1
         got = stage(spark, df, sf)
         assert got.columns == cp.COLUMNS
         assert stage(spark, df.limit(0), sf).count() == 0
     masked = cp.mask_personal_data(spark, df, sf).where("doc_id = 2").first()
     assert masked.text == "call [PHONE] now please ok" and masked.n_chars == len(masked.text)
+    assert cp.mask_personal_data(spark, long, sf).first().text == "word " * 60_000 + "[EMAIL]"
+    assert cp.drop_near_copies(spark, long, sf).count() == 1 and sum(r.length for r in cp.pack(spark, long, sf).collect()) > 60_000
     assert cp.drop_near_copies(spark, df, sf).count() == 3
     assert cp.pack(spark, df, sf).count() == 4
