@@ -3,7 +3,8 @@
 Every stage takes (spark, docs, sf_dir), uses only the columns of `documents`
 (others are dropped) and works on all rows that the stage before kept. Rows with
 null text pass as empty ones where a stage has no reason to reject them; rows
-with null ids are kept. Empty tables pass through.
+with null ids are kept. Texts of any length go through every stage whole. Empty
+tables pass through.
 """
 
 from __future__ import annotations
