@@ -13,6 +13,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,14 @@ def grouped_fold(group: Column, folds: int = 5, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), group), F.lit(folds)).cast("int")
 
 
+def balanced_folds(df: DataFrame, group: str, stratum: Column, folds: int = 5, seed: int = 0, into: str = "fold") -> DataFrame:
+    """Adds the fold of each row's group: groups of one stratum (an aggregate over the group) are dealt in turn in the order of a hash, so every stratum is even up to one group."""
+    g = df.groupBy(group).agg(stratum.alias("__stratum"))
+    order = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col(group).cast("string")).cast("binary"))
+    dealt = g.withColumn(into, ((F.row_number().over(W.partitionBy("__stratum").orderBy(order, group)) - 1) % folds).cast("int"))
+    return df.join(dealt.select(group, into), group, "left")
+
+
 class Probe:
     """A fitted probe; `score` adds the probability of class 1."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..catalogue import query
@@ -97,12 +96,7 @@ def _(spark, d):
 
 @query("sta_operating_point", "WITH r AS (SELECT quality AS y, n_chars AS s FROM documents JOIN labels USING (doc_id)), g AS (SELECT s, sum(sum(y)) OVER (ORDER BY s DESC) AS tp, sum(sum(1-y)) OVER (ORDER BY s DESC) AS fp FROM r GROUP BY 1), n AS (SELECT sum(y)::double AS p, sum(1-y)::double AS q FROM r) SELECT round(max(tp/p) FILTER (WHERE fp/q <= 0.10),9) AS tpr_at_fpr10, round(min(fp/q) FILTER (WHERE tp/p >= 0.80),9) AS fpr_at_tpr80 FROM g, n")
 def _(spark, d):
-    x = _labelled(spark, d)
-    g = x.groupBy("n_chars").agg(F.sum("quality").alias("y"), F.sum(1 - F.col("quality")).alias("z"))
-    w = W.orderBy(F.desc("n_chars"))
-    r = g.select(F.sum("y").over(w).alias("tp"), F.sum("z").over(w).alias("fp"))
-    n = x.agg(F.sum("quality").cast("double").alias("p"), F.sum(1 - F.col("quality")).cast("double").alias("q"))
-    j = r.join(F.broadcast(n)).select((F.col("tp") / F.col("p")).alias("tpr"), (F.col("fp") / F.col("q")).alias("fpr"))
+    j = ranks.operating_points(_labelled(spark, d), "n_chars", "quality")
     return j.agg(F.round(F.max(F.when(F.col("fpr") <= 0.1, F.col("tpr"))), 9).alias("tpr_at_fpr10"), F.round(F.min(F.when(F.col("tpr") >= 0.8, F.col("fpr"))), 9).alias("fpr_at_tpr80"))
 
 
@@ -120,9 +114,17 @@ def _(spark, d):
     return x.groupBy("horizon").agg(F.count("*").alias("n"), F.count_if(F.expr("k < horizon")).alias("events"))
 
 
-@query("sta_bootstrap")
+_U = "(('0x' || substr(md5('7|' || i || '|' || source),1,8))::bigint/4294967296.0::double)"
+_POISSON = " + ".join(f"(u >= {p})::int" for p in resample.POISSON_1)
+
+
+@query(
+    "sta_bootstrap",
+    f"WITH x AS (SELECT source, quality=1 AS y, n_chars>1500 AS a, n_chars>900 AS b FROM documents JOIN labels USING (doc_id)), g AS (SELECT source, sum((y AND a)::int) AS tpa, sum((y<>a)::int) AS ea, sum((y AND b)::int) AS tpb, sum((y<>b)::int) AS eb FROM x GROUP BY 1), m AS (SELECT g.*, i, {_U} AS u FROM g, (SELECT unnest(range(1,1001)) AS i)), w AS (SELECT *, {_POISSON} AS w FROM m), f AS (SELECT i, 2*sum(w*tpb)/nullif(2*sum(w*tpb)+sum(w*eb),0)::double - 2*sum(w*tpa)/nullif(2*sum(w*tpa)+sum(w*ea),0)::double AS d FROM w GROUP BY 1) "
+    "SELECT round(avg(d),6) AS mean, round(quantile_cont(d,0.025),6) AS low, round(quantile_cont(d,0.975),6) AS high, round(stddev_samp(d),6) AS se, round(least(1,2*least(avg((d<=0)::int),avg((d>=0)::int))),6) AS p, count(d) AS defined, count(*)-count(d) AS undefined FROM f",
+)
 def _(spark, d):
-    """The clustered bootstrap interval of the difference of two systems' F1; tests hold it against closed forms."""
+    """The clustered bootstrap interval of the difference of two systems' F1."""
     x = _labelled(spark, d).withColumn("p2", (F.col("n_chars") > 900).cast("int"))
     y = F.col("quality") == 1
     sums = {}
@@ -130,19 +132,45 @@ def _(spark, d):
         sums |= {f"tp_{k}": (y & p).cast("int"), f"e_{k}": (y != p).cast("int")}
     draws = resample.weighted(x, "source", sums, 1000)
     f = lambda k: F.try_divide(2 * F.col(f"tp_{k}"), 2 * F.col(f"tp_{k}") + F.col(f"e_{k}"))
-    return resample.interval(draws.withColumn("diff", f("b") - f("a")), "diff")
+    return resample.interval(draws.withColumn("diff", f("b") - f("a")), "diff").select(*(F.round(k, 6).alias(k) for k in ("mean", "low", "high", "se", "p")), "defined", "undefined")
 
 
 @query("sta_retrieval", "WITH q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q.vec_id, q.label = b.label AS hit, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.e::double[], b.embedding::double[]),9) DESC, b.vec_id) AS k FROM q JOIN embeddings b ON q.vec_id <> b.vec_id) SELECT count(DISTINCT vec_id) AS n, round(avg(f),9) AS mean_rank, count(*) FILTER (WHERE f <= 10) AS r10 FROM (SELECT vec_id, min(k) FILTER (WHERE hit) AS f FROM s GROUP BY 1)")
 def _(spark, d):
-    e = t(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
-    # the stated query set, one row with an array of queries, goes to all vectors in a single pass
-    q = e.where("vec_id % 50 = 0").toDF("q_id", "q_label", "q")
-    dot = F.round(F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b), 9)
-    pairs = e.join(F.broadcast(q)).where("q_id <> vec_id").select("q_id", "vec_id", (F.col("q_label") == F.col("label")).alias("hit"), dot.alias("s"))
-    best = pairs.where("hit").groupBy("q_id").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("o"))).alias("b"))
-    ahead = pairs.join(F.broadcast(best), "q_id").groupBy("q_id").agg(F.count_if((F.col("s") > F.col("b.s")) | (F.col("s") == F.col("b.s")) & (F.col("vec_id") <= -F.col("b.o"))).alias("f"))
-    return ahead.agg(F.count("*").alias("n"), F.round(F.avg("f"), 9).alias("mean_rank"), F.count_if(F.col("f") <= 10).alias("r10"))
+    r = vectors.first_hit_ranks(t(spark, d, "embeddings"), "vec_id", "embedding", "label", F.col("vec_id") % 50 == 0)
+    return r.agg(F.count("*").alias("n"), F.round(F.avg("rank"), 9).alias("mean_rank"), F.count_if(F.col("rank") <= 10).alias("r10"))
+
+
+_BOTH = "p AS (SELECT vec_id, embedding::double[] AS a, list_transform(range(1,65), lambda i: embedding[i]::double + 0.4::double*embedding[65-i]::double) AS b FROM embeddings)"
+
+
+def _direction_sql(own: str, other: str) -> str:
+    return f"SELECT '{own}{other}' AS direction, count(*) AS n, round(avg((k<=1)::int)*100,9) AS r1, round(avg((k<=10)::int)*100,9) AS r10, median(k)::double AS med_r FROM (SELECT q.vec_id, 1+count(*) FILTER (WHERE round(list_cosine_similarity(q.{own},x.{other}),9) > s OR (round(list_cosine_similarity(q.{own},x.{other}),9) = s AND x.vec_id<q.vec_id)) AS k FROM (SELECT *, round(list_cosine_similarity(a,b),9) AS s FROM p WHERE vec_id%50=0) q, p x GROUP BY 1)"
+
+
+@query("sta_pair_retrieval", f"WITH {_BOTH} {_direction_sql('a', 'b')} UNION ALL {_direction_sql('b', 'a')}")
+def _(spark, d):
+    """Ranks of each vector's own pair, in both directions."""
+    e = F.col("embedding").cast("array<double>")
+    p = t(spark, d, "embeddings").select("vec_id", e.alias("a"), F.zip_with(e, F.reverse(e), lambda x, y: x + y * 0.4).alias("b"))
+    asked = F.col("vec_id") % 50 == 0
+    out = None
+    for own, other in (("a", "b"), ("b", "a")):
+        x = vectors.retrieval_summary(vectors.pair_ranks(p, p, "vec_id", own, other, asked), at=(1, 10))
+        x = x.select(F.lit(own + other).alias("direction"), "n", F.round("r1", 9).alias("r1"), F.round("r10", 9).alias("r10"), F.col("med_r").cast("double").alias("med_r"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("sta_near_copies", "SELECT count(*) AS asked, count(*) FILTER (WHERE k>0)::bigint AS with_copy FROM (SELECT q.vec_id, count(*) FILTER (WHERE x.vec_id<>q.vec_id AND round(list_cosine_similarity(q.embedding::double[],x.embedding::double[]),9) >= 0.4) AS k FROM embeddings q, embeddings x WHERE q.vec_id%50=0 GROUP BY 1)")
+def _(spark, d):
+    return vectors.near_copies(t(spark, d, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, 0.4)
+
+
+@query("sta_balanced_folds", "WITH g AS (SELECT vec_id//4 AS g, max((label%2)::int) AS y FROM embeddings GROUP BY 1), f AS (SELECT g, ((row_number() OVER (PARTITION BY y ORDER BY sha1('0|' || g::varchar), g)-1)%5)::int AS fold FROM g) SELECT vec_id, fold FROM embeddings JOIN f ON vec_id//4=g")
+def _(spark, d):
+    x = t(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 4).alias("g"), (F.col("label") % 2).cast("int").alias("y"))
+    return probe.balanced_folds(x, "g", F.max("y")).select("vec_id", "fold")
 
 
 @query("sta_embedding_gate", "SELECT count(*) AS n, count(*) - count(DISTINCT embedding::varchar) AS repeated, count(*) FILTER (WHERE abs(sqrt(list_dot_product(embedding::double[], embedding::double[]))-1) > 1e-3) AS not_unit FROM embeddings")
@@ -155,9 +183,9 @@ def _(spark, d):
 @query("sta_fusion", "WITH r AS (SELECT o_orderkey, rank() OVER (ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_totalprice)-1)/2.0::double AS a, rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey)-1)/2.0::double AS b, count(*) OVER () AS n FROM orders) SELECT o_orderkey, round((a/n+b/n)/2,9) AS fused FROM r")
 def _(spark, d):
     o = t(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    n = o.count()
     r = ranks.average_rank(ranks.average_rank(o, "o_totalprice", into="a"), "o_custkey", into="b")
-    return r.select("o_orderkey", F.round((F.col("a") / n + F.col("b") / n) / 2, 9).alias("fused"))
+    n = o.agg(F.count("*").alias("n"))  # one row
+    return r.join(F.broadcast(n)).select("o_orderkey", F.round((F.col("a") / F.col("n") + F.col("b") / F.col("n")) / 2, 9).alias("fused"))
 
 
 @query(

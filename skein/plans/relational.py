@@ -171,15 +171,14 @@ def _(spark, d):
 
 @query("agg_quantiles", "SELECT event_type, median(value) AS mid, quantile_cont(value,0.9) AS q90, quantile_cont(value,0.99) AS q99, max(value) AS top FROM events GROUP BY 1")
 def _(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("mid"), F.percentile("value", F.lit(0.9)).alias("q90"), F.percentile("value", F.lit(0.99)).alias("q99"), F.max("value").alias("top"))
+    e = t(spark, d, "events")
+    q = ranks.quantiles(e, "value", {"mid": 0.5, "q90": 0.9, "q99": 0.99}, ("event_type",))
+    return q.join(e.groupBy("event_type").agg(F.max("value").alias("top")), "event_type")
 
 
 @query("agg_floor_percentile", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (WHERE k = floor(0.025*n)+1) AS lo, max(value) FILTER (WHERE k = floor(0.975*n)+1) AS hi FROM r GROUP BY 1")
 def _(spark, d):
-    w = W.partitionBy("event_type")
-    r = t(spark, d, "events").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda q: F.max(F.when(F.col("k") == F.floor(F.lit(q).cast("decimal(4,3)") * F.col("n")) + 1, F.col("value")))
-    return r.groupBy("event_type").agg(at(0.025).alias("lo"), at(0.975).alias("hi"))
+    return ranks.quantiles(t(spark, d, "events"), "value", {"lo": 0.025, "hi": 0.975}, ("event_type",), floor=True)
 
 
 @query("agg_examples", "SELECT p_type, min_by(p_name, p_partkey) AS example, array_to_string(list_sort(list(DISTINCT p_brand)),' · ') AS brands FROM part GROUP BY 1")
@@ -240,8 +239,8 @@ def _(spark, d):
 
 @query("win_multiplicity", "WITH g AS (SELECT p_type, count(*)::double/(SELECT count(*) FROM part)/10 AS p FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM g) SELECT p_type, round(least(1, min(p*m/k) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),9) AS bh, round(max(least(1,(m-k+1)*p)) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING),9) AS holm FROM r")
 def _(spark, d):
-    n = t(spark, d, "part").count()
-    g = t(spark, d, "part").groupBy("p_type").agg((F.count("*") / F.lit(n).cast("double") / 10).alias("p"))
+    g = t(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n"))
+    g = g.select("p_type", (F.col("n") / F.sum("n").over(W.partitionBy()) / 10).alias("p"))  # over the few types
     x = ranks.holm(g.withColumn("bh", ranks.benjamini_hochberg(F.col("p"))), "p")
     return x.select("p_type", F.round("bh", 9).alias("bh"), F.round("holm", 9).alias("holm"))
 
@@ -264,7 +263,7 @@ def _(spark, d):
 @query("top_budget_quantile", "SELECT count(*) AS n, count(*) FILTER (WHERE event_type='purchase') AS tp FROM events WHERE value >= (SELECT quantile_cont(value, 0.96) FROM events)")
 def _(spark, d):
     e = t(spark, d, "events").select("value", "event_type")
-    cut = e.agg(F.percentile("value", F.lit(0.96)).alias("cut"))
+    cut = ranks.quantiles(e, "value", {"cut": 0.96})  # one row
     return e.join(F.broadcast(cut)).where("value >= cut").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("tp"))
 
 
