@@ -11,7 +11,8 @@ from ..operators import classify, gates
 from ..session import ship
 from ..session import table as t
 from ..text.lexicon import Concept, Cue, Lexicon
-from ..text.mentions import annotator, concept_sets
+from ..text.exposure import exposure
+from ..text.mentions import annotator
 from ..text.segment import explode_sentences
 
 _PARTS = "(SELECT doc_id, source, lang, unnest(string_split_regex(text, '\\n+|\\. ')) AS part FROM documents)"
@@ -24,6 +25,11 @@ def _parts(spark, d):
     return x.withColumn("norm", normal_phrase(F.col("part"))).where("norm <> ''")
 
 
+def _hashed(spark, d):
+    """The parts with a digest in place of their phrase, so that no text is shuffled."""
+    return _parts(spark, d).select("doc_id", "source", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"))
+
+
 def _train():
     return F.substring(F.sha1(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "b"
 
@@ -43,20 +49,21 @@ _CATALOGUE = f"WITH p AS (SELECT *, {_NORM} AS norm FROM {_PARTS}), c AS (SELECT
 
 
 def _catalogue(parts):
-    return parts.where(_train()).groupBy("norm").agg(F.count_distinct("source").alias("n_sources"))
+    return parts.where(_train()).groupBy("h").agg(F.count_distinct("source").alias("n_sources"))
 
 
 @query("txt_stock_flags", _CATALOGUE + " SELECT p.doc_id, count(*) AS n_parts, count(*) FILTER (WHERE coalesce(c.n,0)>=10) AS n_stock, sum(coalesce(c.n,0))::bigint AS n_sources FROM p LEFT JOIN c USING (norm) WHERE p.norm<>'' GROUP BY 1")
 def _(spark, d):
-    p = _parts(spark, d)
-    x = p.join(_catalogue(p), "norm", "left").withColumn("n", F.coalesce("n_sources", F.lit(0)))
-    return x.groupBy("doc_id").agg(F.count("*").alias("n_parts"), F.count_if(F.col("n") >= 10).alias("n_stock"), F.sum("n").alias("n_sources"))
+    p = _hashed(spark, d)
+    # a document's repeated parts are counted before the join
+    x = p.groupBy("doc_id", "h").agg(F.count("*").alias("k")).join(_catalogue(p), "h", "left").withColumn("n", F.coalesce("n_sources", F.lit(0)))
+    return x.groupBy("doc_id").agg(F.sum("k").alias("n_parts"), F.coalesce(F.sum(F.when(F.col("n") >= 10, F.col("k"))), F.lit(0)).alias("n_stock"), F.sum(F.col("n") * F.col("k")).alias("n_sources"))
 
 
 @query("template_coverage", _CATALOGUE + ", s AS (SELECT p.norm, coalesce(max(c.n),0) AS n, count(*) AS parts FROM p LEFT JOIN c USING (norm) WHERE p.norm<>'' GROUP BY 1) SELECT k::int AS k, count(*) FILTER (WHERE n>=k) AS templates, coalesce(sum(parts) FILTER (WHERE n>=k),0)::bigint AS parts, round(coalesce(sum(parts) FILTER (WHERE n>=k),0)::double/sum(parts),9) AS share FROM s, (VALUES (1),(2),(3),(5),(10),(15),(20)) v(k) GROUP BY 1")
 def _(spark, d):
-    p = _parts(spark, d)
-    sizes = p.groupBy("norm").agg(F.count("*").alias("parts"), F.count_distinct(F.when(_train(), F.col("source"))).alias("n"))
+    p = _hashed(spark, d)
+    sizes = p.groupBy("h").agg(F.count("*").alias("parts"), F.count_distinct(F.when(_train(), F.col("source"))).alias("n"))
     grid = [1, 2, 3, 5, 10, 15, 20]
     # one aggregation with a sum for each threshold, then seven rows
     sums = sizes.agg(F.sum("parts").alias("all"), *(F.count_if(F.col("n") >= k).alias(f"t{k}") for k in grid), *(F.coalesce(F.sum(F.when(F.col("n") >= k, F.col("parts"))), F.lit(0)).alias(f"p{k}") for k in grid))
@@ -128,13 +135,10 @@ def _(spark, d):
     return x.select("doc_id", "sent_idx", "m.*")
 
 
-@query("txt_exposure", "SELECT item_id, count(*) AS n_docs, count(DISTINCT source) AS n_sources FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text,1,60))) GROUP BY 1")
+@query("txt_exposure", "SELECT item_id, count(*) AS n_docs, count(DISTINCT source) AS n_sources FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text)) GROUP BY 1")
 def _(spark, d):
-    # the few snippets go to every document, and each is sought at every place, so word edges and line ends don't matter
-    b = t(spark, d, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("snippet"))
-    docs = t(spark, d, "documents").select("source", F.lower("text").alias("low"))
-    hit = docs.join(F.broadcast(b), F.contains("low", "snippet")).select("item_id", "source")
-    return hit.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_distinct("source").alias("n_sources"))
+    """Documents that hold a whole benchmark text, in any case."""
+    return exposure(t(spark, d, "documents").select("doc_id", "source", "text"), t(spark, d, "benchmark"), "item_id", "text").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_distinct("source").alias("n_sources"))
 
 
 @query("cls_pattern_conflicts", "WITH f AS (SELECT regexp_matches(text,'[0-9]') AS a, regexp_matches(text,'[|]') AS b, regexp_matches(text,'[%#$]') AS c FROM documents) SELECT count(*) FILTER (WHERE a) AS a, count(*) FILTER (WHERE b) AS b, count(*) FILTER (WHERE c) AS c, count(*) FILTER (WHERE a AND b) AS ab, count(*) FILTER (WHERE a AND c) AS ac, count(*) FILTER (WHERE b AND c) AS bc, count(*) FILTER (WHERE NOT (a OR b OR c)) AS uncovered FROM f")
@@ -222,7 +226,7 @@ def _(spark, d):
     "SELECT doc_id, concat_ws(',', CASE WHEN regexp_matches(text,'(?i)(^|[^\\p{L}\\p{N}_])licen[sc]') THEN 'licence' END, CASE WHEN regexp_matches(text,'(?i)(^|[^\\p{L}\\p{N}_])qu') THEN 'question' END, CASE WHEN regexp_matches(text,'(?i)(^|[^\\p{L}\\p{N}_])re[adp]') THEN 'reader' END) AS concepts FROM documents",
 )
 def _(spark, d):
-    names = Lexicon([Concept("licence", "observation", ("licen[sc]",)), Concept("reader", "observation", ("re[adp]",)), Concept("question", "observation", ("qu",))])
-    found = concept_sets(names)(F.col("text"))
-    ship(spark)
-    return t(spark, d, "documents").select("doc_id", F.concat_ws(",", found).alias("concepts"))
+    # concepts that don't compete for places need no matcher: each is a flag of one scan
+    names = {"licence": "licen[sc]", "question": "qu", "reader": "re[adp]"}
+    found = F.concat_ws(",", *(F.when(F.col("text").rlike(rf"(?iu)(^|[^\p{{L}}\p{{N}}_]){p}"), F.lit(k)) for k, p in names.items()))
+    return t(spark, d, "documents").select("doc_id", found.alias("concepts"))

@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 
 from .lexicon import Concept, Cue, Lexicon, union_matcher
 
-#: Characters within which a side counts; fixed value.
+#: Characters within which a side counts, the locatives before an anatomy, the phrases that refer to
+#: another time, and those that single out the largest of several.
 SIDE_WINDOW = 60
 _LOCATIVE_BEFORE = re.compile(r"\b(?:in|within|at|on|into)\s+(?:\w+[\s-]+){0,3}$", re.I)
 _LOCATIVE = re.compile(r"\b(?:in|within|at|on|into|inside)\b", re.I)
-_TIME_REFERENCE = re.compile(r"\b(?:previous|prior|compared|comparison|since|last|earlier|former|interval|follow-?up)\b", re.I)
+TIME_REFERENCES = ("previous", "previously", "prior", "former", "control", "follow-up", "followup", "compared to", "compared with", "current examination", "old CT", "old examination", "newly", "in comparison")
+LARGEST = ("largest of which", "the largest", "biggest of which")
+_TIME_REFERENCE = re.compile(r"\b(?:" + "|".join(map(re.escape, TIME_REFERENCES)) + r")\b", re.I)
+_LARGEST = re.compile("|".join(map(re.escape, LARGEST)), re.I)
 
 
 @dataclass
@@ -162,7 +166,7 @@ class Engine:
             if at is None:
                 open_.append({"head": -1 - j, "relation": "measured_by", "reason": "tie" if tie else "no_candidate"})
             else:
-                largest = re.search(r"\blargest\s+of\s+which\b", sentence[: x["char_start"]], re.I)
+                largest = _LARGEST.search(sentence[: x["char_start"]])
                 edges.append({"head": at, "tail": -1 - j, "relation": "measured_by", "rule": "largest_of_which" if largest else rule})
         return edges, open_
 

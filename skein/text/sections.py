@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 _HASH = re.compile(r"^\s{0,3}#{1,6}\s+(.*)$")
+_ITEM = re.compile(r"^\s*(?:[-*+]|[0-9]+[.)])\s+")
 _BOLD = re.compile(r"^\s*\*\*([^*]+)\*\*\s*:?\s*(.*)$")
 
 
@@ -22,12 +23,12 @@ def normal_heading(raw: str, known: set[str] = frozenset(), prefixes: tuple[str,
 
 
 def sections(text: str | None, known: set[str]) -> list[tuple[str, str]]:
-    """(heading, body) in order. Lines with # are always headings, bold labels only if known; text before any heading has an empty one; a heading that returns is a new section."""
+    """(heading, body) in order. Lines with # are always headings, bold labels, also of list items, only if known; text before any heading has an empty one; a heading that returns is a new section."""
     out: list[tuple[str, list[str]]] = [("", [])]
     for line in (text or "").split("\n"):
         if m := _HASH.match(line):
-            out.append((m[1].strip(), []))
-        elif (m := _BOLD.match(line)) and normal_heading(m[1], known) in known:
+            out.append((m[1].strip().rstrip("#").strip(), []))
+        elif (m := _BOLD.match(_ITEM.sub("", line))) and normal_heading(m[1], known) in known:
             out.append((m[1].strip(), [m[2]] if m[2] else []))
         else:
             out[-1][1].append(line)
@@ -38,3 +39,10 @@ def bucket(heading: str, buckets: dict[str, str], in_scope: set[str]) -> tuple[s
     """(bucket, in scope, unknown); an unknown heading is out of scope."""
     b = buckets.get(heading)
     return ("unknown", False, True) if b is None else (b, b in in_scope, False)
+
+
+def scoped_text(text: str | None, known: set[str], away: set[str]) -> str:
+    """The bodies of all sections but those away, joined by blanks; the whole text if it has no headings or nothing is left."""
+    found = sections(text, known)
+    kept = [b for h, b in found if b and normal_heading(h, known) not in away]
+    return " ".join(kept) if kept and any(h for h, _ in found) else text or ""

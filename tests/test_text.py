@@ -68,7 +68,7 @@ def test_assertion_and_time():
     assert x["calcific"]["assertion"] == "absent" and x["nodule"]["assertion"] == "present"
     assert by("The heart could not be evaluated optimally.")["heart"]["assertion"] == "present"
     assert by("No effusion but nodule")["nodule"]["assertion"] == "present"
-    assert by("previously nodule")["nodule"]["temporality"] == "prior" and by("nodule increased since last")["nodule"]["change_type"] == "increased"
+    assert by("previously nodule")["nodule"]["temporality"] == "prior" and by("nodule increased compared to the former examination")["nodule"]["change_type"] == "increased"
     assert by("nodule increased")["nodule"]["change_type"] == "none" and by("nodule no significant change")["nodule"]["change_type"] == "stable"
 
 
