@@ -86,3 +86,45 @@ def wilson(k: Column, n: Column, z: float = 1.959963985) -> tuple[Column, Column
 def chance_f1(a: Column, c: Column, n: Column) -> Column:
     """The F1 that independent labels with a and c positives of n would reach."""
     return ratio(2 * a * c, n * (a + c))
+
+
+def volume_parts(name: Column) -> dict[str, Column]:
+    """split, patient, study and recon of a name like train_1_a_2.nii.gz: its first one to four parts."""
+    parts = F.split(F.regexp_replace(name, r"\.nii\.gz", ""), "_")
+    joined = lambda n: F.array_join(F.slice(parts, 1, n), "_")
+    return {"split": F.get(parts, F.lit(0)), "patient": joined(2), "study": joined(3), "recon": joined(4)}
+
+
+def age_years(text: Column) -> Column:
+    """The first number of an age such as 063Y; null without one."""
+    return F.regexp_extract(text, "([0-9]+)", 1).try_cast("double")
+
+
+def one_hot(x: Column, values: list[str], prefix: str) -> list[Column]:
+    """A 0 or 1 column for each value; null is none of them."""
+    return [F.coalesce(x == v, F.lit(False)).cast("int").alias(f"{prefix}{v}") for v in values]
+
+
+def any_true(*flags: Column) -> Column:
+    """Whether some flag holds; null counts as false."""
+    return F.exists(F.array(*flags), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def all_true(*flags: Column) -> Column:
+    """Whether every flag holds; null counts as false."""
+    return F.forall(F.array(*flags), lambda x: F.coalesce(x, F.lit(False)))
+
+
+def filled(df, columns: list[str]):
+    """The frame with null texts as empty ones and blanks at the ends taken off, in the columns named."""
+    return df.withColumns({c: strip(F.coalesce(F.col(c), F.lit(""))) for c in columns})
+
+
+def joined_sections(findings: Column, impression: Column) -> Column:
+    """Both sections with an empty line between, without white space at the ends; an empty one leaves no line."""
+    return strip(F.concat_ws("\n\n", F.nullif(strip(findings), F.lit("")), F.nullif(strip(impression), F.lit(""))))
+
+
+def list_column(text: Column) -> Column:
+    """The numbers of a list written as text, in square or round brackets."""
+    return F.from_json(F.translate(text, "()", "[]"), "array<double>")

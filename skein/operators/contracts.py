@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..text import surface
+from ..text.segment import lossless
+
 ASSERTIONS = ("present", "absent", "uncertain")
 
 
@@ -26,7 +29,7 @@ def parse_output(raw: str | None, inventory: set[str]) -> tuple[list[tuple[str,
     """(pairs, error) of a model's JSON: exactly {"findings": [{"concept_id", "assertion"}]}, closed sets, no repeated concept."""
     try:
         x = json.loads(raw or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return None, "not_json"
     if not isinstance(x, dict) or set(x) != {"findings"}:
         return None, "keys"
@@ -36,9 +39,9 @@ def parse_output(raw: str | None, inventory: set[str]) -> tuple[list[tuple[str,
     for f in x["findings"]:
         if not isinstance(f, dict) or set(f) != {"concept_id", "assertion"}:
             return None, "finding_keys"
-        if f["concept_id"] not in inventory:
+        if not isinstance(f["concept_id"], str) or f["concept_id"] not in inventory:
             return None, "inventory"
-        if f["assertion"] not in ASSERTIONS:
+        if not isinstance(f["assertion"], str) or f["assertion"] not in ASSERTIONS:
             return None, "assertion"
         if (f["concept_id"], f["assertion"]) in out:
             return None, "repeated"
@@ -57,12 +60,40 @@ def parsed(inventory: set[str]) -> Callable[[Column], Column]:
     return run
 
 
+class BySentence:
+    """An adapter that runs another one on single sentences and puts the results back where they stood, with all that lies between."""
+
+    def __init__(self, adapter: Adapter):
+        self.adapter, self.name = adapter, f"{adapter.name}, by sentence"
+
+    def run(self, texts: list[str]) -> list[str]:
+        """One output for each text, in order; blank texts and sentences stay as they are."""
+        parts = [lossless(t or "") for t in texts]
+        asked = [(n, i, p) for n, x in enumerate(parts) for i, p in enumerate(x) if i % 2 == 0 and p.strip()]
+        done = self.adapter.run([p for _, _, p in asked])
+        if len(done) != len(asked):
+            raise ValueError(f"{self.adapter.name}: every sentence needs one output")
+        for (n, i, _), out in zip(asked, done):
+            parts[n][i] = out
+        return ["".join(x) for x in parts]
+
+
 def apply_adapter(df: DataFrame, key: str, text: str, adapter: Adapter) -> DataFrame:
-    """(key, output) of every row; an adapter that returns another number of texts, or a blank one, fails."""
+    """(key, output) of every row; an adapter that returns another number of texts, or a blank one, fails.
+
+    An adapter with `run_named` is given (key, text) pairs and returns (key, output)
+    pairs, whose keys must come back in the same order.
+    """
 
     def run(batches):
         for b in batches:
-            out = adapter.run(b[text].tolist())
+            if hasattr(adapter, "run_named"):
+                named = adapter.run_named(list(zip(b[key].tolist(), b[text].tolist())))
+                if [k for k, _ in named] != b[key].tolist():
+                    raise ValueError(f"{adapter.name}: the keys came back in another order")
+                out = [x for _, x in named]
+            else:
+                out = adapter.run(b[text].tolist())
             if len(out) != len(b) or any(not (x or "").strip() for x in out):
                 raise ValueError(f"{adapter.name}: every text needs one output that isn't blank")
             yield pd.DataFrame({key: b[key], "output": out})
@@ -70,6 +101,16 @@ def apply_adapter(df: DataFrame, key: str, text: str, adapter: Adapter) -> DataF
     return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, output string")
 
 
+def post_edited(df: DataFrame, key: str, text: str, adapter: Adapter, leaks: str) -> DataFrame:
+    """(key, text, output, class, faults, broken) of a correcting adapter: what it did to numbers and units, and what shows that it rewrote the text."""
+    out = df.select(key, text).join(apply_adapter(df, key, text, adapter), key)
+    numbers = surface.signature_diff(out, key, text, "output", surface.numbers)
+    units = surface.signature_diff(out, key, text, "output", surface.units).toDF(key, "du", "au")
+    x = out.join(numbers, key).join(units, key)
+    x = x.select(key, text, "output", surface.edit_class(F.col("dropped"), F.col("added"), F.col("du"), F.col("au")).alias("class"), surface.rewriting_faults(F.col(text), F.col("output"), leaks).alias("faults"))
+    return x.withColumn("broken", (F.col("class") != "clean") | (F.size("faults") > 0))
+
+
 def prompt(template: str, inventory: set[str], text: Column) -> Column:
     """The prompt of each text: the sorted inventory and the text put in literally."""
     return F.replace(F.lit(template.replace("{INVENTORY}", "\n".join(sorted(inventory)))), F.lit("{TEXT}"), text)

@@ -54,3 +54,58 @@ def nearest(source: DataFrame, target: DataFrame, within: list[str], right_on_ti
     at = pairs.join(best, [*within, "id"]).where((F.col("gap") == F.col("best.gap")) & (F.col("side") == F.col("best.side")))
     out = at.groupBy(*within, "id").agg(F.count("*").alias("n"), F.min("t_id").alias("t_id"), F.min("gap").alias("gap"))
     return out.select(*within, "id", F.when(F.col("n") == 1, F.col("t_id")).alias("t_id"), "gap", (F.col("n") > 1).alias("tie"))
+
+
+def first_nearest(source: DataFrame, target: DataFrame, within: list[str]) -> DataFrame:
+    """For each source place (id, at) the nearest target place (t_id, t_at) of its group; of equally near ones the first by t_id.
+
+    A target's place is compared with the next source places only: windows carry
+    the nearest target before and after each source, so nothing is paired.
+    """
+    a = source.select(*within, F.col("id"), F.col("at"), F.lit(1).alias("side"), F.lit(None).cast(target.schema["t_id"].dataType).alias("t_id"))
+    b = target.select(*within, F.lit(None).cast(source.schema["id"].dataType).alias("id"), F.col("t_at").alias("at"), F.lit(0).alias("side"), F.col("t_id"))
+    # of targets at one place the first by id stands for all
+    b = b.groupBy(*within, "at").agg(F.min("t_id").alias("t_id")).select(*within, F.lit(None).cast(source.schema["id"].dataType).alias("id"), "at", F.lit(0).alias("side"), "t_id")
+    order = W.partitionBy(*within).orderBy("at", "side")
+    here = F.when(F.col("side") == 0, F.struct("t_id", F.col("at").alias("t_at")))
+    x = a.unionByName(b).withColumn("__t", here)
+    x = x.withColumn("__l", F.last("__t", True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__r", F.first("__t", True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["t_at"] - F.col("at")).alias("gap"), F.col(c)["t_id"].alias("t_id")))
+    best = x.where("side = 1").withColumn("__b", F.least(near("__l"), near("__r"))).where("__b is not null")
+    return best.select(*within, "id", F.col("__b.t_id").alias("t_id"), F.col("__b.gap").alias("gap"))
+
+
+def positional(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Joins the n-th row of one side with the n-th of the other, in the orders given (numeric and unique); what one side has more stays, with nulls."""
+    from .ranks import row_index
+
+    return row_index(left, left_order, [], "place").join(row_index(right, right_order, [], "place"), "place", "full")
+
+
+def set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(only_a, only_b): distinct keys that one side lacks; two zeros mean equal sets."""
+    x = a.select(*keys, F.lit(1).alias("__a"), F.lit(0).alias("__b")).unionByName(b.select(*keys, F.lit(0).alias("__a"), F.lit(1).alias("__b")))
+    per = x.groupBy(*keys).agg(F.max("__a").alias("a"), F.max("__b").alias("b"))
+    return per.agg(F.count_if(F.col("b") == 0).alias("only_a"), F.count_if(F.col("a") == 0).alias("only_b"))
+
+
+def require_equal_sets(a: DataFrame, b: DataFrame, keys: list[str], name: str) -> None:
+    """Fails unless both sides have the same keys."""
+    x = set_difference(a, b, keys).first()
+    if x.only_a or x.only_b:
+        raise ValueError(f"{name}: {x.only_a} keys on the left only, {x.only_b} on the right only")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the order; rows with a null key are one key. Partial minima go before the shuffle, so a frequent key is no hot spot."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order))
+    return df.groupBy(*keys).agg(first.alias("__x")).select(*(c if c in keys else F.col("__x")[c].alias(c) for c in df.columns))
+
+
+def renamed(df: DataFrame, contract: dict[str, str]) -> DataFrame:
+    """The columns that a contract names, under its names and in its order; a missing one is an error."""
+    lost = [c for c in contract if c not in df.columns]
+    if lost:
+        raise ValueError(f"the contract's columns are missing: {lost}")
+    return df.select(*(F.col(a).alias(b) for a, b in contract.items()))

@@ -1,3 +1,3 @@
 """The registered queries, by family."""
 
-from . import evaluation, language, relational  # noqa: F401
+from . import evaluation, findings, language, relational, studies, texts  # noqa: F401

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.packaging import canonical
-from ..session import drop_folder
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, keep: list[str] | None = None, literal_none: bool = False, sep: str = ",") -> DataFrame:
@@ -76,24 +75,69 @@ def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def _paths(spark: SparkSession, *paths: str):
+    jvm = spark.sparkContext._jvm
+    found = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return found[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def rewrite(spark: SparkSession, path: str, change) -> None:
-    """Replaces a table by what `change` makes of it: written beside it first, then moved into its place."""
-    staged = path.rstrip("/") + ".staged"
-    change(spark.read.parquet(path)).write.mode("overwrite").parquet(staged)
-    drop_folder(spark, path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    old = jvm.org.apache.hadoop.fs.Path(staged)
-    if not old.getFileSystem(conf).rename(old, jvm.org.apache.hadoop.fs.Path(path)):
-        raise OSError(f"{staged} could not be moved to {path}")
-
-
-def write_csv(df: DataFrame, path: str, digits: int | None = None) -> None:
-    """CSV with a header; doubles with a fixed number of digits if asked."""
+    """Replaces a table by what `change` makes of it.
+
+    The new table is written beside the old one, which is then moved to a backup
+    and deleted only when the new one has its name; a crash in between leaves the
+    backup, which the next call puts back.
+    """
+    at = path.rstrip("/")
+    fs, (table, staged, backup) = _paths(spark, at, at + ".staged", at + ".backup")
+    if fs.exists(backup) and not fs.exists(table):
+        fs.rename(backup, table)
+    fs.delete(backup, True)
+    change(spark.read.parquet(path)).write.mode("overwrite").parquet(at + ".staged")
+    for old, new in ((table, backup), (staged, table)):
+        if not fs.rename(old, new):
+            raise OSError(f"{old.toString()} could not be moved to {new.toString()}")
+    fs.delete(backup, True)
+
+
+def write_csv(df: DataFrame, path: str, digits: int | None = None, mark: bool = False) -> None:
+    """CSV with a header; doubles with a fixed number of digits, and a byte order mark before the header, if asked."""
     if digits is not None:
         df = df.select(*(F.format_string(f"%.{digits}f", F.col(c)).alias(c) if k in ("double", "float") else F.col(c) for c, k in df.dtypes))
+    if mark:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_records(df: DataFrame, path: str) -> None:
+    """JSON records, one a line, with null fields."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def write_jsonl_once(df: DataFrame, path: str) -> None:
     """Canonical JSON lines; an existing target is an error."""
     canonical(df).write.mode("errorifexists").text(path)
+
+
+def write_text_once(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, complete or not there at all; an existing one is an error."""
+    fs, (target, part) = _paths(spark, path, path + ".part")
+    if fs.exists(target):
+        raise FileExistsError(path)
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, target):
+        raise OSError(f"{path} could not be written")
+
+
+def write_unannotated(df: DataFrame, path: str, answers: list[str]) -> None:
+    """CSV of a form to be filled in; a target in which some answer stands already isn't overwritten."""
+    spark = df.sparkSession
+    fs, (target,) = _paths(spark, path)
+    if fs.exists(target):
+        old = read_csv(spark, path, literal_none=True)
+        filled = [c for c in answers if c in old.columns and old.where(F.trim(c) != "").limit(1).count()]
+        if filled:
+            raise FileExistsError(f"{path} has answers in {filled}")
+    write_csv(df, path)
