@@ -81,6 +81,21 @@ def test_extra_blanks_go_as_sentencepiece_has_them(tmp_path, spark):
     assert all(r.parity and r.n_tokens == len(judge.encode(texts[r.doc_id])) for r in rows)
 
 
+def test_ids_without_parity_are_never_returned(monkeypatch):
+    m = pieces.PieceModel(MODEL)
+    texts = pa.array(["some words", "", "other words"], pa.large_string())
+
+    class Judge:
+        encode = staticmethod(lambda texts, num_threads: [[7] * len(t.split()) for t in texts])
+
+    m.judge = Judge()
+    rows, parity = m.checked(texts)
+    assert m.doubtful and parity.tolist() == [False, True, False] and [r.tolist() for r in rows] == [[7, 7], [], [7, 7]]
+    m = pieces.PieceModel(MODEL)
+    rows, parity = m.checked(pa.array([*TEXTS, None], pa.large_string()).fill_null(""))
+    assert parity.all() and not m.doubtful and [r.tolist() for r in rows] == [*map(m.judge.encode, TEXTS), []]
+
+
 def test_models_that_cannot_be_rebuilt_are_refused():
     for raw in (unigram(trainer=b"\xc0\x01\x01"), unigram(more=[("own", 0, 4)])):
         with pytest.raises(ValueError, match="not supported"):
