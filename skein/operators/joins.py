@@ -42,18 +42,59 @@ def nearest(source: DataFrame, target: DataFrame, within: list[str], right_on_ti
 
     Distance is the gap between spans, 0 if they meet or overlap. At equal
     distance the side decides if right_on_tie; two nearest on one side, or on both
-    sides without that rule, are ambiguous: t_id is null and tie true.
+    sides without that rule, are ambiguous: t_id is null and tie true. Spans with a
+    null place match nothing; a null group is a group.
+
+    Spans aren't paired: all places of a group are put in one order, along which
+    windows carry the next target, the farthest end so far and how many there were.
     """
-    pairs = source.join(target, within)
-    gap = F.greatest(F.lit(0), F.col("t_s") - F.col("e"), F.col("s") - F.col("t_e"))
-    side = F.when(F.col("t_s") >= F.col("s"), 0).otherwise(1) if right_on_tie else F.lit(0)
-    pairs = pairs.withColumn("gap", gap).withColumn("side", side)
+    sid, tid = source.schema["id"].dataType, target.schema["t_id"].dataType
+    a = source.where(F.col("s").isNotNull() & F.col("e").isNotNull()).select(*within, "id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
+    b = target.where(F.col("t_s").isNotNull() & F.col("t_e").isNotNull()).select(*within, "t_id", F.col("t_s").cast("long").alias("t_s"), F.col("t_e").cast("long").alias("t_e"))
+    starts = b.groupBy(*within, "t_s").agg(F.count("*").alias("n"), F.min("t_id").alias("t_id"), F.max("t_e").alias("t_e"), F.max_by("t_id", "t_e").alias("far"))
+    ends = b.groupBy(*within, "t_e").agg(F.count("*").alias("n"))
+
+    def row(df, at, rank, sid_, span_e, start, far, n_start, n_end):
+        return df.select(*within, F.col(at).alias("at"), F.lit(rank).alias("rank"), sid_.cast(sid).alias("id"), span_e.cast("long").alias("e"), start.alias("start"), far.alias("far"), n_start.cast("long").alias("ns"), n_end.cast("long").alias("ne"))
+
+    first_kind, far_kind = f"struct<t_s:bigint,n:bigint,t_id:{tid.simpleString()}>", f"struct<t_e:bigint,t_id:{tid.simpleString()}>"
+    none = F.lit(None)
+    # at one place: where a source begins, then the targets' beginnings, where a source ends, and the targets' ends
+    every = row(a, "s", 0, F.col("id"), F.col("e"), none.cast(first_kind), none.cast(far_kind), F.lit(0), F.lit(0))
+    every = every.unionByName(row(starts, "t_s", 1, none, none, F.struct("t_s", "n", "t_id").cast(first_kind), F.struct("t_e", F.col("far").alias("t_id")).cast(far_kind), F.col("n"), F.lit(0)))
+    every = every.unionByName(row(a, "e", 2, F.col("id"), none, none.cast(first_kind), none.cast(far_kind), F.lit(0), F.lit(0)))
+    every = every.unionByName(row(ends, "t_e", 3, none, none, none.cast(first_kind), none.cast(far_kind), F.lit(0), F.col("n")))
+    order = W.partitionBy(*within).orderBy("at", "rank")
+    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
+    x = every.select("*", F.coalesce(F.sum("ns").over(before), F.lit(0)).alias("cs"), F.coalesce(F.sum("ne").over(before), F.lit(0)).alias("ce"), F.first("start", True).over(after).alias("next"), F.max("far").over(before).alias("last")).where("id is not null")
+    at_s = x.where("rank = 0").select(*within, "id", F.col("at").alias("s"), "e", "cs", "ce", "next", "last")
+    at_e = x.where("rank = 2").groupBy(*(F.col(c).alias(f"__{c}") for c in within), F.col("at").alias("__e")).agg(F.max("cs").alias("cs_e"))
+    same = lambda: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in within]
+    j = at_s.join(at_e, _all([*same(), F.col("e") == F.col("__e")])).drop("__e", *(f"__{c}" for c in within))
+    same_end = ends.select(*(F.col(c).alias(f"__{c}") for c in within), F.col("t_e").alias("__t_e"), F.col("n").alias("n_end"))
+    j = j.join(same_end, _all([*same(), F.col("last.t_e") == F.col("__t_e")]), "left")
+    right = F.greatest(F.lit(0), F.col("next.t_s") - F.col("e"))
+    left = F.greatest(F.lit(0), F.col("s") - F.col("last.t_e"))
+    n_right = F.when(right > 0, F.col("next.n")).otherwise(F.col("cs_e") - F.col("cs"))
+    n_left = F.when(left > 0, F.col("n_end")).otherwise(F.col("cs") - F.col("ce"))
+    sides = F.array_compact(F.array(
+        F.when(F.col("next").isNotNull(), F.struct(right.alias("gap"), F.lit(0).alias("side"), n_right.alias("n"), F.col("next.t_id").alias("t_id"))),
+        F.when(F.col("last").isNotNull(), F.struct(left.alias("gap"), F.lit(1 if right_on_tie else 0).alias("side"), n_left.alias("n"), F.col("last.t_id").alias("t_id"))),
+    ))
+    # several spans of one id compete; of each nearest place the number of targets is known, and their id if it is one
+    found = j.select(*within, "id", F.explode(sides).alias("x")).select(*within, "id", "x.*")
     if limit is not None:
-        pairs = pairs.where(F.col("gap") <= limit)
-    best = pairs.groupBy(*within, "id").agg(F.min(F.struct("gap", "side")).alias("best"))
-    at = pairs.join(best, [*within, "id"]).where((F.col("gap") == F.col("best.gap")) & (F.col("side") == F.col("best.side")))
-    out = at.groupBy(*within, "id").agg(F.count("*").alias("n"), F.min("t_id").alias("t_id"), F.min("gap").alias("gap"))
-    return out.select(*within, "id", F.when(F.col("n") == 1, F.col("t_id")).alias("t_id"), "gap", (F.col("n") > 1).alias("tie"))
+        found = found.where(F.col("gap") <= limit)
+    per = found.groupBy(*within, "id", "gap", "side").agg(F.sum("n").alias("n"), F.min("t_id").alias("t_id"))
+    best = per.groupBy(*within, "id").agg(F.min(F.struct("gap", "side", "n", "t_id")).alias("x"))
+    return best.select(*within, "id", F.when(F.col("x.n") == 1, F.col("x.t_id")).alias("t_id"), F.col("x.gap").alias("gap"), (F.col("x.n") > 1).alias("tie"))
+
+
+def _all(conditions):
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
 
 
 def first_nearest(source: DataFrame, target: DataFrame, within: list[str]) -> DataFrame:

@@ -130,8 +130,11 @@ def product_lexicon() -> Lexicon:
 def _(spark, d):
     """Annotated mentions of the documents' sentences."""
     ship(spark)
-    sentences = explode_sentences(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
-    x = sentences.select("doc_id", "sent_idx", F.explode(annotator(product_lexicon())(F.col("text"))).alias("m"))
+    lexicon = product_lexicon()
+    # only sentences with a pattern of some concept go to the matcher
+    some = "(?iu)" + "|".join(p for c in lexicon.concepts for p in c.patterns)
+    sentences = explode_sentences(t(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").where(F.col("text").rlike(some))
+    x = sentences.select("doc_id", "sent_idx", F.explode(annotator(lexicon)(F.col("text"))).alias("m"))
     return x.select("doc_id", "sent_idx", "m.*")
 
 

@@ -133,6 +133,23 @@ def test_joins(spark):
     assert [tuple(r) for r in joins.first_rows(spark.createDataFrame([(None, 2, "b"), (None, 1, "a")], "k long, o long, v string"), ["k"], ["o"]).collect()] == [(None, 1, "a")]
 
 
+@pytest.mark.parametrize("right, limit", [(True, None), (False, None), (True, 4), (False, 3)])
+def test_nearest_spans_against_all_pairs(spark, right, limit):
+    rng = random.Random(11)
+    span = lambda: (lambda s: (s, s + rng.randint(0, 5)))(rng.randint(0, 60))
+    a, b = [(g, i, *span()) for g in ("x", None, "y") for i in range(25)], [(g, 100 + i, *span()) for g in ("x", None) for i in range(12)]
+    a.append(("x", 3, *span()))  # a second span of one id
+    got = joins.nearest(spark.createDataFrame([*a, ("x", 90, None, 3)], "g string, id long, s long, e long"), spark.createDataFrame([*b, ("x", 91, 1, None)], "g string, t_id long, t_s long, t_e long"), ["g"], right, limit)
+    want = {}
+    for g, i, s, e in a:
+        for h, j, ts, te in b:
+            gap = max(0, ts - e, s - te)
+            if g == h and (limit is None or gap <= limit):
+                want.setdefault((g, i), []).append(((gap, 0 if ts >= s or not right else 1), j))
+    best = {k: (min(v)[0], [j for p, j in v if p == min(v)[0]]) for k, v in want.items()}
+    assert {(r.g, r.id): (r.gap, r.t_id, r.tie) for r in got.collect()} == {k: (p[0], js[0] if len(js) == 1 else None, len(js) > 1) for k, (p, js) in best.items()}
+
+
 def test_contracts():
     inventory = {"a", "b"}
     ok = '{"findings": [{"concept_id": "a", "assertion": "absent"}]}'
