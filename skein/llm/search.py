@@ -33,7 +33,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
@@ -43,12 +42,13 @@ from pyspark.sql import functions as F
 from ..session import settled, shared_folder, ship, table, width
 from .files import folder_files, opened
 from .lexing import buffer_of, chunks, distinct_words, runs, spread, words_array
+from .memory import lean
 
 TOP, K1, B = 10, 1.2, 0.75
 #: Bytes of text and documents in a shard, documents in a block (two to this power), queries read and queries scored at once.
 SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 32 << 20, 16384, 10, 512, 128
-#: Bytes of text of which terms are counted at once; one in how many documents the first round takes.
-COUNT_BYTES, SEED_SHARE = 12 << 20, 16
+#: Bytes of text of which terms are cut out at once; one in how many documents the first round takes.
+COUNT_BYTES, SEED_SHARE = 6 << 20, 16
 #: A term is common if one in so many documents of a shard has it; runs from which a term has a row of block maxima; clusters, and terms that they go by.
 TABLE_SHARE, ROW_RUNS, KINDS, KIND_TERMS = 32, 4, 8, 256
 #: Cells of a shard's table, which bounds its memory: beyond them the next frequent terms are treated as the rarer ones.
@@ -88,6 +88,31 @@ def _kinds(term: np.ndarray, doc: np.ndarray, common: np.ndarray, n: int) -> np.
     return kind
 
 
+def _postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(term, text, times) of each distinct pair by term, then text; the terms; and the number of words of each text. Texts are cut a part at a time."""
+    _, off = buffer_of(texts)
+    found, names, length, at, base = [], [], [], 0, 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(off, off[at] + COUNT_BYTES, "right")) - 1)
+        text, code, terms = terms_of(texts.slice(at, end - at))
+        length.append(np.bincount(text, minlength=end - at))
+        text += code * np.int64(end - at)
+        del code
+        key, times = np.unique(text, return_counts=True)
+        del text
+        found.append(((key // (end - at) + base).astype(np.int32), (key % (end - at) + at).astype(np.int32), times.astype(np.int32)))
+        names.append(terms)
+        at, base = end, base + len(terms)
+    if not names:
+        return *(np.zeros(0, np.int64) for _ in range(3)), pa.array([], pa.binary()), np.zeros(0, np.int64)
+    again, terms = distinct_words(pa.concat_arrays(names))
+    term, text, times = (np.concatenate(x) for x in zip(*found))
+    found.clear()
+    term = again[term]
+    order = np.argsort(term, kind="stable")  # the parts follow one another, so texts ascend within each term
+    return term[order].astype(np.int64), text[order].astype(np.int64), times[order], terms, np.concatenate(length)
+
+
 def _cut(least: float) -> float:
     """What a score bound must reach for a score of `least` to be possible."""
     return least * (1 - SHARE_SLACK) - SLACK
@@ -119,15 +144,10 @@ class Shard:
     @classmethod
     def of(cls, ids: np.ndarray, texts: pa.Array, mean_length: float) -> "Shard":
         """Indexes texts."""
-        text, code, terms = terms_of(texts)
+        term, doc, tf, terms, length = _postings(texts)
         n, v = max(len(ids), 1), len(terms)
-        length = np.bincount(text, minlength=n)
-        text += code * np.int64(n)
-        del code
-        key, tf = np.unique(text, return_counts=True)
-        del text
-        term, doc = key // n, key % n
-        del key
+        if not len(ids):
+            length = np.zeros(1, np.int64)
         found = np.bincount(term, minlength=v)
         most = np.argsort(-found, kind="stable")[: TABLE_CELLS // n]
         common = np.sort(most[found[most] * TABLE_SHARE >= n])
@@ -159,11 +179,12 @@ class Shard:
         by_doc = np.argsort(doc, kind="stable")
         doc_first = np.searchsorted(doc[by_doc], np.arange(n + 1))
         term_max = np.maximum.reduceat(run_max, run_first[:-1]) if v else run_max
-        return cls(ids[by_kind], terms, blocks, doc.astype(np.int32), impact, run_first, np.append(run_at, len(doc)), run_block.astype(np.int32), run_max.astype(np.float32), term_max, row, row_max, row_run, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v))
+        return cls(ids[by_kind], terms, blocks, doc.astype(np.int32), impact.astype(np.float32), run_first, np.append(run_at, len(doc)), run_block.astype(np.int32), run_max.astype(np.float32), term_max, row, row_max, row_run, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v))
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[float, int]]]:
         """(score, id) of the best k documents for each query (terms, weights, least score); terms are codes of this shard."""
         out: list[list[tuple[float, int]]] = []
+        whole = np.empty((min(TILE_ROWS, len(queries)), self.blocks << BLOCK_BITS), np.float32)
         for at in range(0, len(queries), TILE_ROWS):
             some = queries[at : at + TILE_ROWS]
             common = np.zeros((len(some), len(self.table)), np.float32)
@@ -174,7 +195,8 @@ class Shard:
             # bounds of the blocks: those below a query's threshold are skipped
             bounds = common @ self.row_max[: len(self.table)]
             plans = [self._bounded(*x, bounds[q]) for q, x in enumerate(some)]
-            tile = np.zeros((len(some), self.blocks << BLOCK_BITS), np.float32)
+            tile = whole[: len(some)]
+            tile[:] = 0
             for b in range(self.blocks):
                 live = np.flatnonzero([p.live[b] for p in plans])
                 here = self.table[:, b << BLOCK_BITS : b + 1 << BLOCK_BITS]
@@ -281,14 +303,16 @@ def _shards(batches):
     ids, texts, size, rows = [], [], 0, 0
 
     def made():
-        return np.concatenate(ids), pa.concat_arrays(texts)
+        nonlocal ids, texts, size, rows
+        out = np.concatenate(ids), pa.concat_arrays(texts)
+        ids, texts, size, rows = [], [], 0, 0
+        return out
 
     for batch in batches:
         for part, text in chunks(batch, "text"):
             known = part.column(0).is_valid()
             if rows and (size + text.nbytes > SHARD_BYTES or rows + len(text) > SHARD_DOCS):
                 yield made()
-                ids, texts, size, rows = [], [], 0, 0
             ids.append(part.column(0).filter(known).to_numpy(zero_copy_only=False))
             texts.append(text.filter(known))
             size, rows = size + text.nbytes, rows + len(text)
@@ -301,11 +325,12 @@ def term_statistics(docs: DataFrame) -> DataFrame:
 
     def counted(texts: pa.Array):
         text, code, terms = terms_of(texts)
-        pair = pd.unique(code.astype(np.int64) * max(len(texts), 1) + text) // max(len(texts), 1)
+        pair = pc.unique(pa.array(code.astype(np.int64) * max(len(texts), 1) + text)).to_numpy() // max(len(texts), 1)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([len(texts)]), pa.array([len(code)])], ["term", "n", "words"])
         yield pa.RecordBatch.from_arrays([terms, pa.array(np.bincount(pair, minlength=len(terms))), pa.array(np.zeros(len(terms), np.int64))], ["term", "n", "words"])
 
     def run(batches):
+        lean()
         held, size = [], 0
         for batch in batches:
             for _, texts in chunks(batch, "text"):
@@ -357,6 +382,7 @@ def _ranked(docs: DataFrame, folder: str, k: int, mean_length: float) -> DataFra
     """(query_id, rank, doc_id, score) of the k best of docs for the queries of the folder (query_id, terms, weights, least)."""
 
     def search(batches):
+        lean()
         known: dict[int, np.ndarray] = {}  # thresholds by block of queries, as the task's shards have raised them
         for keys, texts in _shards(batches):
             shard = Shard.of(keys, texts, mean_length)
