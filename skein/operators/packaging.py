@@ -81,6 +81,20 @@ def write_package(df: DataFrame, key: str, visible: list[str], hidden: list[str]
     return manifest
 
 
+def lock_annotations(annotations: DataFrame, blind_package: DataFrame, keys: list[str], fixed: list[str], annotator: str, folder: str) -> dict:
+    """Writes finished annotations and a manifest once, if they cover the blind package and change none of its fixed columns."""
+    from ..sources import write_jsonl_once, write_text_once
+    from .gates import GateError, annotated
+
+    broken = annotated(annotations, blind_package, keys, fixed).where("violations > 0").collect()
+    if broken:
+        raise GateError("; ".join(f"{r.rule}: {r.violations}" for r in broken))
+    write_jsonl_once(annotations, f"{folder}/annotations")
+    manifest = {"annotator": annotator, "blind": table_hash(blind_package.select(*keys, *fixed)).first().asDict(), "annotations": table_hash(annotations).first().asDict(), "locked_utc": datetime.now(timezone.utc).isoformat(timespec="seconds")}
+    write_text_once(annotations.sparkSession, f"{folder}/annotations.manifest.json", json.dumps(manifest, indent=2, sort_keys=True) + "\n")
+    return manifest
+
+
 def check_package(df: DataFrame, expected: dict, name: str) -> None:
     """Fails unless the table has the number of rows and the hash that a manifest says."""
     got = table_hash(df).first().asDict()

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chance_f1, f1
 from . import ranks
+from .exact import two_sided_normal
 
 #: Least rows and positives of a stratum that has a say in a weighted curve; fixed values.
 STRATUM_ROWS, STRATUM_POSITIVES = 50, 3
@@ -161,3 +163,20 @@ def strata_against_chance(df: DataFrame, stratum: str, gold: str, pred: str) ->
     by_chance = chance_f1(tp + fn, tp + fp, F.col("n"))
     out = x.select(F.when(F.col("__g") == 1, "ALL").otherwise(F.col(stratum)).alias(stratum), "n", f1(tp, fp, fn).alias("f1"), by_chance.alias("chance"))
     return out.withColumn("lift", F.col("f1") - F.col("chance"))
+
+
+def auc_score(auc: Column, n_pos: Column, n_neg: Column, least: int = 3) -> Column:
+    """The normal score of an AUC against one half (Mann and Whitney); null with fewer than `least` rows of a label."""
+    n1, n0 = n_pos.cast("double"), n_neg.cast("double")
+    z = F.abs(auc * n1 * n0 - n1 * n0 / 2) / F.sqrt(n1 * n0 * (n1 + n0 + 1) / 12)
+    return F.when((n_pos >= least) & (n_neg >= least), z)
+
+
+def normal_p(z: Column) -> Column:
+    """The two-sided p value of a normal score, also of a difference over its bootstrap standard error; null stays null. SQL has no error function, so a worker computes it."""
+
+    @F.pandas_udf("double")
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v != v else two_sided_normal(v)).astype("float64")
+
+    return tail(z.cast("double"))

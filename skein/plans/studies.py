@@ -344,3 +344,27 @@ def _(spark, d):
     raw = F.element_at(F.array(*map(F.lit, answers)), (F.col("event_id") % 6 + 1).cast("int"))
     x = t(spark, d, "events").select("event_id", parsed({"nodule", "mass"})(raw).alias("x"))
     return x.select("event_id", "x.ok", "x.error", F.when(F.col("x.ok"), F.size("x.findings")).alias("n"))
+
+
+@query("sta_auc_score", f"WITH {_X}, s AS (SELECT lang, y, n_chars AS score FROM x), {_auc_sql('lang', 'u')} SELECT lang, CASE WHEN n_pos>=3 AND n_neg>=3 THEN round(abs(auc*n_pos*n_neg - n_pos*n_neg/2.0::double)/sqrt(n_pos::double*n_neg*(n_pos+n_neg+1)/12),9) END AS z FROM u")
+def _(spark, d):
+    a = ranks.auc(_labelled(spark, d), "n_chars", "y", ("lang",))
+    return a.select("lang", F.round(studies.auc_score(F.col("auc"), F.col("n_pos"), F.col("n_neg")), 9).alias("z"))
+
+
+@query("sta_normal_p", "SELECT event_id, (['0.317311','0.0455','0.0027','1.0'])[event_id%4+1]::double AS p FROM events")
+def _(spark, d):
+    """Two-sided tails of the scores -1, 2, 3 and 0, which are tabulated."""
+    from ..session import ship
+
+    ship(spark)
+    z = F.element_at(F.array(*map(F.lit, [-1.0, 2.0, 3.0, 0.0])), (F.col("event_id") % 4 + 1).cast("int"))
+    return t(spark, d, "events").select("event_id", F.round(studies.normal_p(z), 6).alias("p"))
+
+
+@query("prj_list_column", "SELECT p_partkey, p_size::double AS first, 2 AS n FROM part")
+def _(spark, d):
+    from ..functions import list_column
+
+    x = t(spark, d, "part").select("p_partkey", list_column(F.concat(F.lit("("), F.col("p_size").cast("string"), F.lit(", 2.5)"))).alias("x"))
+    return x.select("p_partkey", F.get("x", F.lit(0)).alias("first"), F.size("x").alias("n"))

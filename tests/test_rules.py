@@ -292,6 +292,18 @@ def test_packages(spark, tmp_path):
     assert {r.state for r in packaging.verify_lock(df, "y", "k", held).collect()} == {"holds"}
 
 
+def test_annotations_are_locked_once(spark, tmp_path):
+    blind = spark.createDataFrame([(1, "a"), (2, "b")], "k long, t string")
+    done = blind.withColumn("answer", F.lit("x"))
+    with pytest.raises(gates.GateError, match="missing"):
+        packaging.lock_annotations(done.limit(1), blind, ["k"], ["t"], "a", str(tmp_path))
+    with pytest.raises(gates.GateError, match="changed"):
+        packaging.lock_annotations(done.withColumn("t", F.lit("z")), blind, ["k"], ["t"], "a", str(tmp_path))
+    assert packaging.lock_annotations(done, blind, ["k"], ["t"], "a", str(tmp_path))["annotations"]["n"] == 2
+    with pytest.raises(Exception, match="already exists"):
+        packaging.lock_annotations(done, blind, ["k"], ["t"], "a", str(tmp_path))
+
+
 def test_verdicts(spark):
     df = spark.createDataFrame([(None,), (float("nan"),), (0.9,), (0.1,)], "v double")
     assert [r[0] for r in df.select(studies.verdict(F.col("v"), F.lit(0.5))).collect()] == ["not_measured", "not_measured", "passed", "failed"]
