@@ -52,7 +52,7 @@ from .lexing import chunks, plain_words, spread
 
 SHINGLE, PERCENT = 5, 80
 #: Shingles that are in one task of step 4 at most (a larger single document aside).
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 400_000
 #: Prefix hashes that a task gathers before it sends them on.
 FLUSH = 1_000_000
 #: Of the overlap, the share that step 2 asks the prefixes for.
