@@ -48,35 +48,30 @@ def nearest(source: DataFrame, target: DataFrame, within: list[str], right_on_ti
     Spans aren't paired: all places of a group are put in one order, along which
     windows carry the next target, the farthest end so far and how many there were.
     """
-    sid, tid = source.schema["id"].dataType, target.schema["t_id"].dataType
     a = source.where(F.col("s").isNotNull() & F.col("e").isNotNull()).select(*within, "id", F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"))
     b = target.where(F.col("t_s").isNotNull() & F.col("t_e").isNotNull()).select(*within, "t_id", F.col("t_s").cast("long").alias("t_s"), F.col("t_e").cast("long").alias("t_e"))
-    starts = b.groupBy(*within, "t_s").agg(F.count("*").alias("n"), F.min("t_id").alias("t_id"), F.max("t_e").alias("t_e"), F.max_by("t_id", "t_e").alias("far"))
-    ends = b.groupBy(*within, "t_e").agg(F.count("*").alias("n"))
-
-    def row(df, at, rank, sid_, span_e, start, far, n_start, n_end):
-        return df.select(*within, F.col(at).alias("at"), F.lit(rank).alias("rank"), sid_.cast(sid).alias("id"), span_e.cast("long").alias("e"), start.alias("start"), far.alias("far"), n_start.cast("long").alias("ns"), n_end.cast("long").alias("ne"))
-
-    first_kind, far_kind = f"struct<t_s:bigint,n:bigint,t_id:{tid.simpleString()}>", f"struct<t_e:bigint,t_id:{tid.simpleString()}>"
-    none = F.lit(None)
+    alike = lambda c: F.count("*").over(W.partitionBy(*within, c))
+    b = b.repartition(*within).select("*", alike("t_s").alias("n_s"), alike("t_e").alias("n_e"))
     # at one place: where a source begins, then the targets' beginnings, where a source ends, and the targets' ends
-    every = row(a, "s", 0, F.col("id"), F.col("e"), none.cast(first_kind), none.cast(far_kind), F.lit(0), F.lit(0))
-    every = every.unionByName(row(starts, "t_s", 1, none, none, F.struct("t_s", "n", "t_id").cast(first_kind), F.struct("t_e", F.col("far").alias("t_id")).cast(far_kind), F.col("n"), F.lit(0)))
-    every = every.unionByName(row(a, "e", 2, F.col("id"), none, none.cast(first_kind), none.cast(far_kind), F.lit(0), F.lit(0)))
-    every = every.unionByName(row(ends, "t_e", 3, none, none, none.cast(first_kind), none.cast(far_kind), F.lit(0), F.col("n")))
-    order = W.partitionBy(*within).orderBy("at", "rank")
-    before, after = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(1, W.unboundedFollowing)
-    x = every.select("*", F.coalesce(F.sum("ns").over(before), F.lit(0)).alias("cs"), F.coalesce(F.sum("ne").over(before), F.lit(0)).alias("ce"), F.first("start", True).over(after).alias("next"), F.max("far").over(before).alias("last")).where("id is not null")
-    at_s = x.where("rank = 0").select(*within, "id", F.col("at").alias("s"), "e", "cs", "ce", "next", "last")
-    at_e = x.where("rank = 2").groupBy(*(F.col(c).alias(f"__{c}") for c in within), F.col("at").alias("__e")).agg(F.max("cs").alias("cs_e"))
-    same = lambda: [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in within]
-    j = at_s.join(at_e, _all([*same(), F.col("e") == F.col("__e")])).drop("__e", *(f"__{c}" for c in within))
-    same_end = ends.select(*(F.col(c).alias(f"__{c}") for c in within), F.col("t_e").alias("__t_e"), F.col("n").alias("n_end"))
-    j = j.join(same_end, _all([*same(), F.col("last.t_e") == F.col("__t_e")]), "left")
+    of_a = F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(0).alias("rank")), F.struct(F.col("e").alias("at"), F.lit(2).alias("rank"))))
+    of_b = F.explode(F.array(F.struct(F.col("t_s").alias("at"), F.lit(1).alias("rank")), F.struct(F.col("t_e").alias("at"), F.lit(3).alias("rank"))))
+    every = a.select("*", of_a.alias("p")).unionByName(b.select("*", of_b.alias("p")), allowMissingColumns=True).select("*", "p.at", "p.rank").drop("p")
+    begins, ends = F.col("rank") == 1, F.col("rank") == 3
+    order = W.partitionBy(*within).orderBy("at", "rank").rowsBetween(W.unboundedPreceding, -1)
+    # what follows is what came before in the other direction
+    back = W.partitionBy(*within).orderBy(F.desc("at"), F.desc("rank")).rowsBetween(W.unboundedPreceding, -1)
+    count = lambda c: F.coalesce(F.sum(c.cast("long")).over(order), F.lit(0))
+    x = every.select(
+        *within, "id", "s", "e", "rank", count(begins).alias("cs"), count(ends).alias("ce"),
+        F.last(F.when(begins, F.struct("t_s", "n_s", "t_id")), True).over(back).alias("next"), F.max(F.when(begins, F.struct("t_e", "n_e", "t_id"))).over(order).alias("last"),
+    ).where("rank in (0, 2)")
+    at = lambda rank, c: F.max(F.when(F.col("rank") == rank, F.col(c)))
+    here = F.max(F.when(F.col("rank") == 0, F.struct("cs", "ce", "next", "last")))
+    j = x.groupBy(*within, "id", "s", "e").agg(here.alias("x"), at(2, "cs").alias("cs_e"), F.count_if(F.col("rank") == 0).alias("times")).select(*within, "id", "s", "e", "x.*", "cs_e", "times")
     right = F.greatest(F.lit(0), F.col("next.t_s") - F.col("e"))
     left = F.greatest(F.lit(0), F.col("s") - F.col("last.t_e"))
-    n_right = F.when(right > 0, F.col("next.n")).otherwise(F.col("cs_e") - F.col("cs"))
-    n_left = F.when(left > 0, F.col("n_end")).otherwise(F.col("cs") - F.col("ce"))
+    n_right = F.when(right > 0, F.col("next.n_s")).otherwise(F.col("cs_e") - F.col("cs")) * F.col("times")
+    n_left = F.when(left > 0, F.col("last.n_e")).otherwise(F.col("cs") - F.col("ce")) * F.col("times")
     sides = F.array_compact(F.array(
         F.when(F.col("next").isNotNull(), F.struct(right.alias("gap"), F.lit(0).alias("side"), n_right.alias("n"), F.col("next.t_id").alias("t_id"))),
         F.when(F.col("last").isNotNull(), F.struct(left.alias("gap"), F.lit(1 if right_on_tie else 0).alias("side"), n_left.alias("n"), F.col("last.t_id").alias("t_id"))),
@@ -90,13 +85,6 @@ def nearest(source: DataFrame, target: DataFrame, within: list[str], right_on_ti
     return best.select(*within, "id", F.when(F.col("x.n") == 1, F.col("x.t_id")).alias("t_id"), F.col("x.gap").alias("gap"), (F.col("x.n") > 1).alias("tie"))
 
 
-def _all(conditions):
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
 def first_nearest(source: DataFrame, target: DataFrame, within: list[str]) -> DataFrame:
     """For each source place (id, at) the nearest target place (t_id, t_at) of its group; of equally near ones the first by t_id.
 
@@ -110,7 +98,10 @@ def first_nearest(source: DataFrame, target: DataFrame, within: list[str]) -> Da
     order = W.partitionBy(*within).orderBy("at", "side")
     here = F.when(F.col("side") == 0, F.struct("t_id", F.col("at").alias("t_at")))
     x = a.unionByName(b).withColumn("__t", here)
-    x = x.withColumn("__l", F.last("__t", True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("__r", F.first("__t", True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    # what follows is what came before in the other direction
+    back = W.partitionBy(*within).orderBy(F.desc("at"), F.desc("side"))
+    so_far = lambda w: F.last("__t", True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    x = x.withColumn("__l", so_far(order)).withColumn("__r", so_far(back))
     near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(c)["t_at"] - F.col("at")).alias("gap"), F.col(c)["t_id"].alias("t_id")))
     best = x.where("side = 1").withColumn("__b", F.least(near("__l"), near("__r"))).where("__b is not null")
     return best.select(*within, "id", F.col("__b.t_id").alias("t_id"), F.col("__b.gap").alias("gap"))
