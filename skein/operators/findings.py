@@ -233,7 +233,12 @@ def first_assertion(ent: DataFrame, sections: Sequence[str] = ("findings", "impr
 
 def preserved(df: DataFrame, keep: Column, run) -> DataFrame:
     """(n, lost, changed): the rows that a run makes of the whole table, and how they differ when only the rows to keep go in: a prefilter is safe if both are 0."""
-    whole, part = run(df).withColumn("__side", F.lit(1)), run(df.where(keep)).withColumn("__side", F.lit(-1))
-    columns = [c for c in whole.columns if c != "__side"]
-    odds = whole.unionByName(part).groupBy(*columns).agg(F.sum("__side").alias("d"), F.sum(F.greatest("__side", F.lit(0))).alias("a"))
-    return odds.agg(F.sum("a").alias("n"), F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("changed"))
+    whole, part = run(df), run(df.where(keep))
+    columns = whole.columns
+    a, b = whole.groupBy(*columns).agg(F.count("*").alias("__a")), part.groupBy(*(F.col(c).alias(f"__{c}") for c in columns)).agg(F.count("*").alias("__b"))
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    n, m = F.coalesce("__a", F.lit(0)), F.coalesce("__b", F.lit(0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    return a.join(b, on, "full").agg(total(n).alias("n"), total(F.greatest(n - m, F.lit(0))).alias("lost"), total(F.greatest(m - n, F.lit(0))).alias("changed"))

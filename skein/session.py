@@ -30,9 +30,19 @@ def build_session(name: str = "skein", cores: str = "*", partitions: int = 8, **
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
+def steady(spark: SparkSession) -> None:
+    """Keeps a union from claiming the partitioning of its parts.
+
+    Adaptive execution can leave the parts with different numbers of partitions,
+    and a plan that relies on the claim then fails ("can't zip").
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", False)
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application, and bounds their batches."""
     sc = spark.sparkContext
+    steady(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_skein_shipped", False):
@@ -48,6 +58,7 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark whatever store it is in."""
+    steady(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

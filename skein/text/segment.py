@@ -5,13 +5,19 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 SEGMENTATION_VERSION = "1.0"
 _BLOCK = re.compile(r" {2,}|[·•]+|\n+")
 _STOP = re.compile(r"[.!?]+(?=[\s\"')\]]*(?:\s|$))|(?<=[0-9A-Za-z)])\.(?=\s*[A-Z][a-z])|(?<=[a-z])\.(?=[0-9])")
 _ABBREVIATED = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|vs|e\.g|i\.e|approx|No|Fig|St)$")
+#: Characters of the longest abbreviation, and one before it.
+_ABBREVIATION = 7
+_SOME = re.compile(r"[^\W_]")
 SENTENCES = "array<struct<text:string,char_start:int,char_end:int>>"
 
 
@@ -32,14 +38,14 @@ def sentences(text: str | None) -> list[tuple[str, int, int]]:
     for s, e in blocks(text or ""):
         cuts, at = [], s
         for m in _STOP.finditer(text, s, e):
-            if not _ABBREVIATED.search(text, s, m.start()) or m.end() == e:
+            if not _ABBREVIATED.search(text, max(s, m.start() - _ABBREVIATION), m.start()) or m.end() == e:
                 cuts.append(m.end())
         for end in [*cuts, e]:
-            piece = text[at:end]
-            a = at + len(piece) - len(piece.lstrip())
-            b = at + len(piece.rstrip())
-            if a < b and any(c.isalnum() for c in text[a:b]):
-                out.append((text[a:b], a, b))
+            if _SOME.search(text, at, end):
+                piece = text[at:end]
+                whole = piece.strip()
+                a = at + len(piece) - len(piece.lstrip())
+                out.append((whole, a, a + len(whole)))
             at = end
     return out
 
@@ -67,9 +73,22 @@ def section_offsets(findings: Column, impression: Column) -> tuple[Column, Colum
 
 
 def explode_sentences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a sentence: key, sent_idx from 0, text, offsets and version."""
-    x = docs.select(key, F.posexplode(sentence_spans(F.col(text))).alias("sent_idx", "s"))
-    return x.select(key, "sent_idx", "s.text", "s.char_start", "s.char_end", F.lit(SEGMENTATION_VERSION).alias("segmentation_version"))
+    """One row a sentence: key, sent_idx from 0, text, offsets and version. Null texts have none."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            found = [sentences(x) for x in batch.column(1).to_pylist()]
+            counts = [len(x) for x in found]
+            flat = [x for some in found for x in some]
+            place = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int64())
+            idx = pa.array([k for n in counts for k in range(n)], pa.int32())
+            words, start, end = zip(*flat) if flat else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(place), idx, pa.array(words, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], [key, "sent_idx", "text", "char_start", "char_end"])
+
+    rows = docs.select(key, F.col(text).cast("string").alias("__text"))
+    x = rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, sent_idx int, text string, char_start int, char_end int")
+    return x.withColumn("segmentation_version", F.lit(SEGMENTATION_VERSION))
 
 
 def offset_errors(sentences: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -142,8 +142,9 @@ def units(text: Column) -> Column:
 
 def signature_diff(pairs: DataFrame, key: str, source: str, target: str, signature) -> DataFrame:
     """(key, dropped, added): values of the signature that the target has fewer or more times, sorted; one row for each pair."""
-    side = lambda c, n: pairs.select(key, F.explode(signature(F.col(c))).alias("v"), F.lit(n).alias("n"))
-    odds = side(source, 1).unionByName(side(target, -1)).groupBy(key, "v").agg(F.sum("n").alias("n")).where("n <> 0")
+    side = lambda c, n: F.transform(F.coalesce(signature(F.col(c)), F.array().cast("array<string>")), lambda v: F.struct(v.alias("v"), F.lit(n).alias("n")))
+    values = pairs.select(key, F.explode(F.concat(side(source, 1), side(target, -1))).alias("x")).select(key, "x.v", "x.n")
+    odds = values.groupBy(key, "v").agg(F.sum("n").alias("n")).where("n <> 0")
     many = lambda sign: F.when(F.col("n") * sign > 0, F.array_repeat("v", F.abs("n").cast("int")))
     per = odds.groupBy(key).agg(F.sort_array(F.flatten(F.collect_list(many(1)))).alias("dropped"), F.sort_array(F.flatten(F.collect_list(many(-1)))).alias("added"))
     none = F.array().cast("array<string>")
