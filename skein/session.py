@@ -80,7 +80,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         sc.setCheckpointDir(base)
     if "://" not in base:
         base = "file://" + base if base.startswith("/") else base
-    return f"{base.rstrip('/')}/skein/{purpose}-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/skein/{sc.applicationId}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def tidy(spark: SparkSession) -> None:
+    """Removes everything that this application has put into the shared folder; results that still read from there must be written before."""
+    drop_folder(spark, shared_folder(spark, "none").rsplit("/", 1)[0])
 
 
 def settled(df: DataFrame, purpose: str) -> DataFrame:

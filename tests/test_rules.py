@@ -321,6 +321,24 @@ def test_shared_folder_needs_a_name_on_a_cluster(spark, monkeypatch):
         session.shared_folder(fake, "t")
 
 
+def test_tidy_removes_what_the_application_wrote(spark):
+    import os
+
+    from skein import session
+
+    at = session.settled(spark.range(3), "t").inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(at) and spark.sparkContext.applicationId in at
+    session.tidy(spark)
+    assert not os.path.exists(at)
+
+
+def test_hadoop_names_of_stores(monkeypatch):
+    from skein import shared
+
+    monkeypatch.setattr(shared.fs, "FileSystem", type("F", (), {"from_uri": staticmethod(lambda u: (None, u))}))
+    assert shared.file_system("s3a://b/k")[1] == "s3://b/k" and shared.file_system("file:///a")[1] == "file:///a"
+
+
 def test_derived_entities_meet_every_rule(spark, sf):
     ent = plans._ent(spark, sf)
     assert ent.count() == ent.select("entity_id").distinct().count() and {r[0] for r in ent.select("kind").distinct().collect()} == {"observation", "anatomy", "qualifier"}
