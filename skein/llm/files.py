@@ -7,10 +7,12 @@ import uuid
 
 from pyarrow import fs
 
+from ..shared import file_system
+
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI and the path in it."""
-    return fs.FileSystem.from_uri(uri)
+    return file_system(uri)
 
 
 def write_once(folder: str, name: str, parts) -> str:
