@@ -34,7 +34,7 @@ class Pieces:
     item = 1 << 62
 
     def __init__(self, tok):
-        self.tok = tok
+        self.tok = self.learner = tok
         self.known: dict[bytes, int] = {}
         self._reset()
 
@@ -51,7 +51,7 @@ class Pieces:
     def _learn(self, words: list[bytes]) -> None:
         spelled = list(map(self.spelled, words))
         lists = [spelled[i : i + self.item] for i in range(0, len(spelled), self.item)]
-        done = self.tok.encode_batch(lists, is_pretokenized=True, add_special_tokens=False) if len(lists) > 1 else [self.tok.encode(lists[0], is_pretokenized=True, add_special_tokens=False)]
+        done = self.learner.encode_batch(lists, is_pretokenized=True, add_special_tokens=False) if len(lists) > 1 else [self.learner.encode(lists[0], is_pretokenized=True, add_special_tokens=False)]
         ids = np.concatenate([np.asarray(e.ids, np.uint32) for e in done])
         count = np.concatenate([np.bincount(np.asarray(e.word_ids, np.int64), minlength=len(x)) for e, x in zip(done, lists)])
         base, n = len(self.flat), len(self.first)
@@ -83,6 +83,21 @@ class WordBpe(Pieces):
 
         super().__init__(Tokenizer.from_file(path))
         self.exact = self._checked()
+        if self.exact:
+            self.learner = self._short()
+
+    def _short(self):
+        """The library's model without normaliser and splitter, which find nothing to do in a piece; the whole one if ids of sample pieces differ."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        short = Tokenizer.from_str(self.tok.to_str())
+        short.normalizer = None
+        short.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = [chr(c).lower() for c in range(TABLE) if not self.odd[c] and self.kind[c] != SPACE]
+        letters = [c for c in plain if self.kind[ord(c)] == LETTER]
+        pieces = plain + [a + b for a, b in zip(letters, letters[7:] + letters[:7])] + ["the", "internationalisation", "größenordnung", "señalización", "œuvre", "...", "!?--", "7"]
+        same = lambda t: (lambda e: (e.ids, e.word_ids))(t.encode(pieces, is_pretokenized=True, add_special_tokens=False))
+        return short if same(short) == same(self.tok) else self.tok
 
     def _checked(self) -> bool:
         """Fills the tables; False if this vocabulary doesn't split by the classes used here."""
