@@ -2,23 +2,25 @@
 
 Every task builds inverted indexes over its own texts (shards of at most
 SHARD_BYTES and SHARD_DOCS). A shard's documents are ordered by kind (clusters by
-the common terms they have), then length, and cut into blocks; of each term and
-block the greatest score is kept. Statistics (documents, mean length, document
-frequencies) are counted over all documents first, so all shards score alike and
-their results merge exactly.
-
-A block in which the block maxima of a query's terms together stay below the
-query's threshold is skipped. In each other block the common terms, which have
-their impacts in a table, are scored by a matrix product for TILE_ROWS queries at
-once; the other terms follow in the order of their greatest scores, and the pivot
-is the term at which the best score so far in the block and the cumulated block
-maxima pass a share (PIVOT) of the threshold. A document without a term from the
-pivot on can't reach the threshold, so only the postings from the pivot on are
-opened. Documents whose score so far and the maxima of the unopened terms reach
-the threshold are completed from their own lists of terms, the most promising
-ones first. The threshold is the k-th best score known: it rises as documents are
-completed and is carried over to a task's next shards. A first round over every
-SEED_SHARE-th document (by a hash of its id) gives the threshold to begin with.
+the common terms they have), then length, and each kind is cut into blocks; of each
+term and block the greatest score is kept. Statistics (documents, mean length,
+document frequencies) are counted over all documents first, so all shards score
+alike and their results merge exactly. Query terms are numbered once; a shard looks
+all of them up at once.
+
+Queries are taken TILE_ROWS at a time, alike ones together. A block in which the
+block maxima of a query's terms together stay below the query's threshold is
+skipped. In each other block terms that many of the tile's queries and of the
+block's documents have are scored by a matrix product; the pivot is the rarer term
+at which the best score so far in the block and the cumulated block maxima pass a
+share (PIVOT) of the threshold. A document without a term from the pivot on can't
+reach the threshold, so only the postings from the pivot on are opened, for all
+queries of a tile at once. Documents whose score so far and the maxima of the
+unopened terms reach the threshold are completed from their own lists of terms, the
+most promising ones first. The threshold is the k-th best score known: it rises as
+documents are completed and is carried over to a task's next shards. A first round
+over every SEED_SHARE-th document (by a hash of its id) gives the threshold to begin
+with.
 
 A query's terms count once each. Scores are rounded to 6 decimals; ties go by
 ascending id. Texts are cut into lower-case runs of letters and digits. Null and
@@ -46,15 +48,20 @@ from .memory import lean
 
 TOP, K1, B = 10, 1.2, 0.75
 #: Bytes of text and documents in a shard, documents in a block (two to this power), queries read and queries scored at once.
-SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 32 << 20, 16384, 10, 512, 128
+SHARD_BYTES, SHARD_DOCS, BLOCK_BITS, QUERY_ROWS, TILE_ROWS = 32 << 20, 16384, 10, 2048, 256
 #: Bytes of text of which terms are cut out at once; one in how many documents the first round takes.
 COUNT_BYTES, SEED_SHARE = 6 << 20, 16
-#: A term is common if one in so many documents of a shard has it; runs from which a term has a row of block maxima; clusters, and terms that they go by.
-TABLE_SHARE, ROW_RUNS, KINDS, KIND_TERMS = 32, 4, 8, 256
+#: A term has a row in a shard's table if one in so many documents has it; clusters, and the most frequent terms that they go by, if one in so many has them.
+TABLE_SHARE, KINDS, KIND_TERMS, KIND_SHARE = 64, 8, 256, 32
+#: Products in a matrix that cost as much as one posting.
+DENSE = 192
+#: Postings that are added up at once.
+POSTINGS = 1 << 16
+POSTING = np.dtype([("doc", np.int32), ("impact", np.float32)])
 #: Cells of a shard's table, which bounds its memory: beyond them the next frequent terms are treated as the rarer ones.
 TABLE_CELLS = 1 << 24
 #: Share of the threshold that may stay unopened. Bounds are sums in single precision, so scores this near below the threshold are looked at too.
-PIVOT, SLACK, SHARE_SLACK = 0.4, 1e-5, 1e-3
+PIVOT, SLACK, SHARE_SLACK, TINY = 0.2, 1e-5, 1e-3, 1e-30
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -69,8 +76,8 @@ def terms_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.searchsorted(off, starts, "right") - 1, codes, values
 
 
-def _kinds(term: np.ndarray, doc: np.ndarray, common: np.ndarray, n: int) -> np.ndarray:
-    """A cluster for each document, by the common terms it has: so blocks hold documents alike."""
+def _kinds(term: np.ndarray, doc: np.ndarray, common: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A cluster for each document, by the common terms it has, and the clusters' centres: so blocks hold documents alike."""
     has = np.zeros((n, len(common)), np.float32)
     place = np.full(int(term.max()) + 1 if len(term) else 0, -1)
     place[common] = np.arange(len(common))
@@ -85,7 +92,15 @@ def _kinds(term: np.ndarray, doc: np.ndarray, common: np.ndarray, n: int) -> np.
         for c in range(KINDS):
             if (kind == c).any():
                 centre[c] = has[kind == c].mean(0)
-    return kind
+    return kind, centre
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    """Where blocks begin, and the end: each cluster is cut evenly into blocks of at most two to the power BLOCK_BITS."""
+    parts = -(-sizes >> BLOCK_BITS)
+    of = np.repeat(np.arange(len(sizes)), parts)
+    step = np.arange(len(of)) - (np.cumsum(parts) - parts)[of]
+    return np.append((np.cumsum(sizes) - sizes)[of] + step * sizes[of] // np.maximum(parts[of], 1), sizes.sum())
 
 
 def _postings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -120,26 +135,28 @@ def _cut(least: float) -> float:
 
 @dataclass
 class Shard:
-    """An inverted index; impacts are a term's scores without its idf. Postings lie by term, then document."""
+    """An inverted index; impacts are a term's scores without its idf. Postings lie by block, then term and document."""
 
     ids: np.ndarray
     terms: pa.Array
-    blocks: int
-    doc: np.ndarray
-    impact: np.ndarray
+    edges: np.ndarray  # where each block's documents begin, and the end
+    posting: np.ndarray  # a document's place in its block and the impact, as one number
     run_first: np.ndarray  # of each term's runs, a run being its postings in one block
     run_at: np.ndarray  # where each run's postings begin
+    run_size: np.ndarray
     run_block: np.ndarray
     run_max: np.ndarray
-    term_max: np.ndarray
-    row: np.ndarray  # of each term in the next two, or -1; the most frequent terms come first
+    row: np.ndarray  # of each term in the next four, or -1
     row_max: np.ndarray  # block maxima by row and block
     row_run: np.ndarray  # runs by row and block
+    row_found: np.ndarray  # documents by row and block
     table: np.ndarray  # impacts by row and document, for the most frequent terms
     doc_first: np.ndarray  # of each document's terms
     doc_term: np.ndarray
     doc_impact: np.ndarray
     weight: np.ndarray  # of each term in the query at hand, else 0
+    kind_of: np.ndarray  # the place of each term among those that clusters go by, or -1
+    centre: np.ndarray  # of each cluster, by these terms
 
     @classmethod
     def of(cls, ids: np.ndarray, texts: pa.Array, mean_length: float) -> "Shard":
@@ -151,151 +168,209 @@ class Shard:
         found = np.bincount(term, minlength=v)
         most = np.argsort(-found, kind="stable")[: TABLE_CELLS // n]
         common = np.sort(most[found[most] * TABLE_SHARE >= n])
-        by_kind = np.lexsort((length, _kinds(term, doc, np.sort(most[:KIND_TERMS][found[most[:KIND_TERMS]] * TABLE_SHARE >= n]), n)))
+        frequent = np.sort(most[:KIND_TERMS][found[most[:KIND_TERMS]] * KIND_SHARE >= n])
+        kind, centre = _kinds(term, doc, frequent, n)
+        kind_of = np.full(v, -1)
+        kind_of[frequent] = np.arange(len(frequent))
+        by_kind = np.lexsort((length, kind))
         rank = np.empty(n, np.int64)
         rank[by_kind] = np.arange(n)
+        edges = _edges(np.bincount(kind))
+        blocks = len(edges) - 1
         doc, length = rank[doc], length[by_kind]
         order = np.argsort(term * n + doc, kind="stable")
         doc, tf = doc[order], tf[order]
         del order
         impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean_length))
-        block, blocks = doc >> BLOCK_BITS, (n - 1 >> BLOCK_BITS) + 1
+        block = np.repeat(np.arange(blocks), np.diff(edges))[doc]
         run_at = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)])
         run_max = np.maximum.reduceat(impact, run_at) if v else impact
         run_term, run_block = term[run_at], block[run_at]
         run_first = np.searchsorted(run_term, np.arange(v + 1))
+        run_size = np.diff(np.append(run_at, len(doc)))
+        by_block = np.argsort(block, kind="stable")
+        posting = np.empty(len(doc), POSTING)
+        posting["doc"], posting["impact"] = (doc - edges[block])[by_block], impact[by_block]
+        first = np.argsort(run_block, kind="stable")
+        run_at[first] = np.cumsum(run_size[first]) - run_size[first]
         row = np.full(v, -1)
         row[common] = np.arange(len(common))
-        more = np.flatnonzero((np.diff(run_first) >= ROW_RUNS) & (row < 0))
-        row[more] = np.arange(len(common), len(common) + len(more))
-        rows = len(common) + len(more)
-        row_max, row_run = np.zeros((rows, blocks), np.float32), np.zeros((rows, blocks), np.int32)
+        row_max, row_run, row_found = (np.zeros((len(common), blocks), kind) for kind in (np.float32, np.int32, np.int32))
         inside = np.flatnonzero(row[run_term] >= 0)
-        row_max[row[run_term[inside]], run_block[inside]] = run_max[inside]
-        row_run[row[run_term[inside]], run_block[inside]] = inside
+        at = row[run_term[inside]], run_block[inside]
+        row_max[at], row_run[at], row_found[at] = run_max[inside], inside, run_size[inside]
         table = np.zeros((len(common), n), np.float32)
-        at = np.flatnonzero((row[term] >= 0) & (row[term] < len(common)))
+        at = np.flatnonzero(row[term] >= 0)
         table[row[term[at]], doc[at]] = impact[at]
         by_doc = np.argsort(doc, kind="stable")
         doc_first = np.searchsorted(doc[by_doc], np.arange(n + 1))
-        term_max = np.maximum.reduceat(run_max, run_first[:-1]) if v else run_max
-        return cls(ids[by_kind], terms, blocks, doc.astype(np.int32), impact.astype(np.float32), run_first, np.append(run_at, len(doc)), run_block.astype(np.int32), run_max.astype(np.float32), term_max, row, row_max, row_run, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v))
+        return cls(ids[by_kind], terms, edges, posting.view(np.int64), run_first, run_at, run_size.astype(np.int32), run_block.astype(np.int16 if blocks < 1 << 15 else np.int32), run_max.astype(np.float32), row, row_max, row_run, row_found, table, doc_first, term[by_doc].astype(np.int32), impact[by_doc], np.zeros(v), kind_of, centre)
 
     def search(self, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int) -> list[list[tuple[float, int]]]:
         """(score, id) of the best k documents for each query (terms, weights, least score); terms are codes of this shard."""
-        out: list[list[tuple[float, int]]] = []
-        whole = np.empty((min(TILE_ROWS, len(queries)), self.blocks << BLOCK_BITS), np.float32)
+        out: list[list[tuple[float, int]]] = [[] for _ in queries]
+        order = self._alike(queries)
         for at in range(0, len(queries), TILE_ROWS):
-            some = queries[at : at + TILE_ROWS]
-            common = np.zeros((len(some), len(self.table)), np.float32)
-            for q, (terms, weights, _) in enumerate(some):
-                row = self.row[terms]
-                tabled = (row >= 0) & (row < len(self.table))
-                common[q, row[tabled]] = weights[tabled]
-            # bounds of the blocks: those below a query's threshold are skipped
-            bounds = common @ self.row_max[: len(self.table)]
-            plans = [self._bounded(*x, bounds[q]) for q, x in enumerate(some)]
-            tile = whole[: len(some)]
-            tile[:] = 0
-            for b in range(self.blocks):
-                live = np.flatnonzero([p.live[b] for p in plans])
-                here = self.table[:, b << BLOCK_BITS : b + 1 << BLOCK_BITS]
-                if len(live) and here.size:
-                    ours = slice(None) if len(live) == len(some) else live
-                    tile[ours, b << BLOCK_BITS : (b << BLOCK_BITS) + here.shape[1]] = common[ours] @ here
-            out += [self._scored(p, *x, tile[q], k) if p.live.any() else [] for q, (x, p) in enumerate(zip(some, plans))]
+            some = order[at : at + TILE_ROWS]
+            for q, found in zip(some, Tile(self, [queries[q] for q in some], k).searched()):
+                out[q] = found
         return out
 
-    def _bounded(self, terms: np.ndarray, weights: np.ndarray, least: float, total: np.ndarray) -> "Plan":
-        """The block maxima of a query's rarer terms, and the blocks that can hold a result."""
-        row = self.row[terms]
-        kept = np.flatnonzero(row >= len(self.table))
-        kept = kept[np.argsort(weights[kept] * self.term_max[terms[kept]], kind="stable")]
-        loose = np.flatnonzero(row < 0)
-        first = self.run_first[terms[loose]]
-        count = self.run_first[terms[loose] + 1] - first
-        run = spread(count, first)
-        run_weight = np.repeat(weights[loose], count)
-        bound = self.row_max[row[kept]]
-        bound *= weights[kept].astype(np.float32)[:, None]
-        total = total + bound.sum(0) + np.bincount(self.run_block[run], self.run_max[run] * run_weight, self.blocks)
-        return Plan(row[kept], weights[kept], bound, run, run_weight, (total > 0) & (total >= _cut(least)))
-
-    def _scored(self, plan: "Plan", terms: np.ndarray, weights: np.ndarray, least: float, score: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """The best k documents in the live blocks; score has what the terms of the table give each document."""
-        bound, cut = plan.bound, _cut(least)
-        # the pivot of each block: with the best that the table gives there, terms before it can't reach the threshold
-        opened = (bound > 0) & plan.live
-        rest = np.zeros(self.blocks)
-        if least > 0 and len(bound):
-            most = score.reshape(self.blocks, -1).max(1)
-            cumulated = np.cumsum(bound, 0)
-            shut = cumulated <= PIVOT * cut - most
-            pivot = shut.sum(0)
-            rest = np.where(pivot > 0, cumulated[np.maximum(pivot - 1, 0), np.arange(self.blocks)], 0.0)
-            opened &= ~shut
-        i, j = np.nonzero(opened)
-        inside = plan.live[self.run_block[plan.run]]
-        run = np.concatenate([self.row_run[plan.row[i], j], plan.run[inside]])
-        run_weight = np.concatenate([plan.weight[i], plan.run_weight[inside]])
-        first = self.run_at[run]
-        count = self.run_at[run + 1] - first
-        posting = spread(count, first)
-        score = score + np.bincount(self.doc[posting], self.impact[posting] * np.repeat(run_weight, count), len(score))
+    def _alike(self, queries: list[tuple[np.ndarray, np.ndarray, float]]) -> list[int]:
+        """The queries' places by cluster, so that a tile's queries share their common terms and their blocks."""
+        q = np.repeat(np.arange(len(queries)), [len(t) for t, _, _ in queries])
+        place = self.kind_of[np.concatenate([t for t, _, _ in queries])] if queries else q
+        has = np.zeros((len(queries), self.centre.shape[1]), np.float32)
+        has[q[place >= 0], place[place >= 0]] = 1
+        return np.argsort((has @ self.centre.T).argmax(1), kind="stable").tolist()
+
+
+class Tile:
+    """Queries (terms, weights, least score) that are searched in a shard together."""
+
+    def __init__(self, shard: Shard, queries: list[tuple[np.ndarray, np.ndarray, float]], k: int):
+        self.shard, self.queries, self.k = shard, queries, k
+        self.least = np.array([least for _, _, least in queries])
+        self.best: list[list[tuple[float, int]]] = [[] for _ in queries]
+        terms, weights = (np.concatenate([x[i] for x in queries]) for i in (0, 1))
+        q = np.repeat(np.arange(len(queries)), [len(t) for t, _, _ in queries])
+        row = shard.row[terms]
+        tabled, rare = np.flatnonzero(row >= 0), np.flatnonzero(row < 0)
+        self.common = np.zeros((len(queries), len(shard.table)), np.float32)
+        self.query, self.row = q[tabled], row[tabled]
+        self.common[self.query, self.row] = weights[tabled]
+        first = shard.run_first[terms[rare]]
+        count = shard.run_first[terms[rare] + 1] - first
+        run, of = spread(count, first), np.repeat(rare, count)
+        block = shard.run_block[run]
+        by_block = np.argsort(block, kind="stable")  # each block's by query, in the order of the query's terms
+        self.run, of, block = run[by_block], of[by_block], block[by_block]
+        self.run_query, self.run_weight = q[of], weights[of]
+        self.run_bound = shard.run_max[self.run] * self.run_weight
+        blocks = len(shard.edges) - 1
+        self.run_edges = np.searchsorted(block, np.arange(blocks + 1))
+        self.bounds = self.common @ shard.row_max + np.bincount(self.run_query * blocks + block, self.run_bound, len(queries) * blocks).reshape(-1, blocks)
+
+    def searched(self) -> list[list[tuple[float, int]]]:
+        """(score, id) of each query's best documents; the blocks that promise most come first."""
+        for b in np.argsort(-self.bounds.sum(0), kind="stable").tolist():
+            live = np.flatnonzero((self.bounds[:, b] > 0) & (self.bounds[:, b] >= _cut(self.least)))
+            if len(live):
+                self._block(b, live)
+        return [[(-s, i) for s, i in found] for found in self.best]
+
+    def _block(self, b: int, live: np.ndarray) -> None:
+        """Scores a block's documents for the queries whose bound there reaches their threshold."""
+        s, n = self.shard, len(live)
+        low, size = s.edges[b], s.edges[b + 1] - s.edges[b]
+        # terms that many of these queries and documents have: by a matrix product
+        place = np.full(len(self.queries), -1)
+        place[live] = np.arange(n)
+        q, row = place[self.query], self.row
+        if n < len(self.queries):
+            q, row = q[q >= 0], row[q >= 0]
+        work = np.bincount(row, minlength=len(s.table)) * s.row_found[:, b]
+        dense = np.flatnonzero(work * DENSE >= n * size) if size else work
+        score = self.common[np.ix_(live, dense)] @ s.table[dense, low : low + size]
+        # the other terms of the table, and from the pivot on the rarer ones: by their postings
+        work *= work * DENSE < n * size
+        thin = np.flatnonzero(work[row])
+        q, row = q[thin], row[thin]
+        run, weight = s.row_run[row, b], self.common[live[q], row]
+        part = slice(self.run_edges[b], self.run_edges[b + 1])
+        rare = place[self.run_query[part]]
+        met = np.flatnonzero(rare >= 0)
+        rare, bound = rare[met], self.run_bound[part][met]
+        cut = _cut(self.least[live])
+        cumulated = np.append(0.0, np.cumsum(bound))
+        shut = cumulated[1:] - cumulated[np.searchsorted(rare, np.arange(n))][rare] <= (PIVOT * cut - score.max(1, initial=0))[rare]
+        rest = np.bincount(rare[shut], bound[shut], n)
+        met = met[~shut]
+        run, q = np.concatenate([run, self.run[part][met]]), np.concatenate([q, rare[~shut]])
+        weight = np.concatenate([weight, self.run_weight[part][met]]).astype(np.float32)
+        first, count = s.run_at[run], s.run_size[run]
+        opened = np.cumsum(count)
+        flat, base, at = score.reshape(-1), q * size, 0
+        while at < len(run):
+            end = max(at + 1, int(np.searchsorted(opened, opened[at] - count[at] + POSTINGS, "right")))
+            some = slice(at, end)
+            posting = s.posting.take(spread(count[some], first[some])).view(POSTING)
+            to = np.repeat(base[some], count[some])
+            to += posting["doc"]
+            given = np.repeat(weight[some], count[some])
+            given *= posting["impact"]
+            np.add.at(flat, to, given)
+            at = end
         # a document's score so far and the maxima of the unopened terms bound its score
-        upper = (score.reshape(self.blocks, -1) + rest[:, None]).ravel()
-        doc = np.flatnonzero((score > 0) & (upper >= cut))
+        hit = score >= np.maximum(cut - rest, TINY).astype(np.float32)[:, None]
+        for i in np.flatnonzero(hit.any(1)).tolist():
+            doc = np.flatnonzero(hit[i])
+            self._completed(int(live[i]), low + doc, score[i, doc].astype(np.float64), float(rest[i]))
+
+    def _completed(self, q: int, doc: np.ndarray, score: np.ndarray, rest: float) -> None:
+        """Scores documents from their own lists of terms, the most promising ones first."""
+        s, k = self.shard, self.k
+        terms, weights, _ = self.queries[q]
         if len(doc) > k:
-            floor = float(np.partition(score[doc], len(doc) - k)[len(doc) - k])
-            doc = doc[upper[doc] >= _cut(floor)]
-        best: list[tuple[float, int]] = []
-        if len(doc):
-            doc = doc[np.argsort(-upper[doc], kind="stable")]
-            self.weight[terms] = weights
-            done, step = 0, k
-            while done < len(doc) and upper[doc[done]] >= _cut(least):
-                some = doc[done : done + step]
-                done, step = done + step, 2 * step
-                count = self.doc_first[some + 1] - self.doc_first[some]
-                entry = spread(count, self.doc_first[some])
-                exact = np.round(np.add.reduceat(self.weight[self.doc_term[entry]] * self.doc_impact[entry], np.cumsum(count) - count), 6)
-                good = exact >= least - SLACK
-                best = sorted(best + list(zip((-exact[good]).tolist(), self.ids[some[good]].tolist())))[:k]
-                if len(best) == k:
-                    least = max(least, -best[-1][0])
-            self.weight[terms] = 0
-        return [(-s, i) for s, i in best]
-
-
-@dataclass
-class Plan:
-    """A query in a shard: its terms with rows, the runs of its rarest terms, and the live blocks."""
-
-    row: np.ndarray
-    weight: np.ndarray
-    bound: np.ndarray
-    run: np.ndarray
-    run_weight: np.ndarray
-    live: np.ndarray
+            kept = score + rest >= _cut(float(np.partition(score, len(score) - k)[len(score) - k]))
+            doc, score = doc[kept], score[kept]
+        order = np.argsort(-score, kind="stable")
+        doc, upper = doc[order], score[order] + rest
+        s.weight[terms] = weights
+        done, step = 0, k
+        while done < len(doc) and upper[done] >= _cut(self.least[q]):
+            some = doc[done : done + step]
+            done, step = done + step, 2 * step
+            count = s.doc_first[some + 1] - s.doc_first[some]
+            entry = spread(count, s.doc_first[some])
+            exact = np.round(np.add.reduceat(s.weight[s.doc_term[entry]] * s.doc_impact[entry], np.cumsum(count) - count), 6)
+            good = exact >= self.least[q] - SLACK
+            self.best[q] = sorted(self.best[q] + list(zip((-exact[good]).tolist(), s.ids[some[good]].tolist())))[:k]
+            if len(self.best[q]) == k:
+                self.least[q] = max(self.least[q], -self.best[q][-1][0])
+        s.weight[terms] = 0
+
+
+class Vocabulary:
+    """The distinct terms of all queries and their weights by code, which a task holds once, and each term's place in the shard at hand."""
+
+    def __init__(self, folder: str, starts: list[int]):
+        terms, codes, weights = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for uri in folder_files(folder):
+            system, at = opened(uri)
+            with system.open_input_file(at) as f:
+                for batch in pq.ParquetFile(f).iter_batches(1 << 16):
+                    terms.append(batch.column("term"))
+                    codes.append(coded(batch.column("at").to_numpy(), starts))
+                    weights.append(batch.column("weight").to_numpy())
+        self.terms, self.codes = pa.chunked_array(terms), np.concatenate(codes)
+        self.weights = np.zeros(starts[-1])
+        self.weights[self.codes] = np.concatenate(weights)
+
+    def places(self, shard: Shard) -> np.ndarray:
+        """The shard's code of each term, or -1."""
+        out = np.full(len(self.weights), -1, np.int32)
+        if len(shard.terms):
+            out[self.codes] = pc.index_in(self.terms, value_set=shard.terms).fill_null(-1).to_numpy()
+        return out
 
 
-def _flat_terms(queries: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    terms = queries.column("terms").combine_chunks()
-    return terms.flatten(), queries.column("weights").combine_chunks().flatten().to_numpy(), terms.offsets.to_numpy().astype(np.int64) - terms.offsets[0].as_py()
+def coded(at, starts: list[int]):
+    """Numbers from 0 on without gaps, for those of Spark, in which the upper bits are the partition's."""
+    return np.asarray(starts)[at >> 33] + (at & (1 << 33) - 1)
 
 
-def searched(shard: Shard, queries: pa.Table, k: int, least: np.ndarray):
+def searched(shard: Shard, places: np.ndarray, vocabulary: Vocabulary, queries: pa.Table, k: int, least: np.ndarray):
     """For each query that shares a term with the shard its place and the shard's results."""
-    terms, weights, off = _flat_terms(queries)
-    place = pc.index_in(terms, value_set=shard.terms).fill_null(-1).to_numpy().astype(np.int64) if len(shard.terms) else np.full(len(terms), -1)
-    met, asked = [], []
-    for i in range(len(queries)):
-        t = place[off[i] : off[i + 1]]
-        here = t >= 0
-        if here.any():
-            met.append(i)
-            asked.append((t[here], weights[off[i] : off[i + 1]][here], float(least[i])))
-    return zip(met, shard.search(asked, k))
+    codes = queries.column("codes").combine_chunks()
+    off = codes.offsets.to_numpy().astype(np.int64) - codes.offsets[0].as_py()
+    codes = codes.flatten().to_numpy()
+    here = places[codes]
+    kept = here >= 0
+    off = np.append(0, np.cumsum(kept))[off]
+    terms, weights = here[kept], vocabulary.weights[codes[kept]]
+    met = np.flatnonzero(np.diff(off)).tolist()
+    return zip(met, shard.search([(terms[off[i] : off[i + 1]], weights[off[i] : off[i + 1]], float(least[i])) for i in met], k))
 
 
 def _shards(batches):
@@ -378,20 +453,23 @@ def _blocks(folder: str):
                 block += 1
 
 
-def _ranked(docs: DataFrame, folder: str, k: int, mean_length: float) -> DataFrame:
-    """(query_id, rank, doc_id, score) of the k best of docs for the queries of the folder (query_id, terms, weights, least)."""
+def _ranked(docs: DataFrame, folder: str, terms: str, starts: list[int], k: int, mean_length: float) -> DataFrame:
+    """(query_id, rank, doc_id, score) of the k best of docs for the queries of the folder (query_id, codes, least), whose terms are in another (term, weight, at)."""
 
     def search(batches):
         lean()
+        vocabulary = None
         known: dict[int, np.ndarray] = {}  # thresholds by block of queries, as the task's shards have raised them
         for keys, texts in _shards(batches):
             shard = Shard.of(keys, texts, mean_length)
             del keys, texts
+            vocabulary = vocabulary or Vocabulary(terms, starts)
+            places = vocabulary.places(shard)
             for block, some in _blocks(folder):
                 ids = some.column("query_id").to_pylist()
                 least = known.setdefault(block, np.nan_to_num(some.column("least").to_numpy().astype(float)))
                 rows = []
-                for i, found in searched(shard, some, k, least):
+                for i, found in searched(shard, places, vocabulary, some, k, least):
                     rows += [(ids[i], d, s) for s, d in found]
                     if len(found) == k:
                         least[i] = max(least[i], found[-1][0])
@@ -436,20 +514,27 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     idf = F.log(1 + (n - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    weighted = wanted.join(known.where("term is not null"), "term").select("query_id", "term", idf.alias("weight"))
-    # one row a query, whose size is that of its text
-    one = F.array_sort(F.collect_list(F.struct("term", "weight")))
-    plain = weighted.groupBy("query_id").agg(one.alias("x")).select("query_id", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
+    # the queries' terms, numbered as they are written
+    asked = known.join(wanted.select("term").distinct(), "term").select("term", idf.alias("weight"), F.monotonically_increasing_id().alias("at"))
+    terms = shared_folder(spark, "search-terms")
+    asked.write.parquet(terms)
+    asked = spark.read.schema(asked.schema).parquet(terms)
+    sizes = {r.part: r.n for r in asked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}
+    starts = np.cumsum([0] + [sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]).tolist()
+    code = F.element_at(F.array(*map(F.lit, starts)), (F.shiftright("at", 33) + 1).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)
+    # one row a query, whose size is that of its text; the lightest terms come first
+    one = F.array_sort(F.collect_list(F.struct("weight", code.cast("int").alias("code"))))
+    plain = wanted.join(asked, "term").groupBy("query_id").agg(one.alias("x")).select("query_id", F.col("x.code").alias("codes"))
     at = shared_folder(spark, "search-queries")
     plain.withColumn("least", F.lit(0.0)).write.parquet(at)
 
     # the first round: every SEED_SHARE-th document
     seed = docs.where(f"doc_id is not null and pmod(xxhash64(doc_id), {SEED_SHARE}) = 0")
     seeds = settled(seed.repartition(-(-4 * n // SEED_SHARE // SHARD_DOCS) or 1), "search-seed")
-    least = _ranked(seeds, at, k, mean_length).where(f"rank = {k}").select("query_id", F.col("score").alias("least"))
+    least = _ranked(seeds, at, terms, starts, k, mean_length).where(f"rank = {k}").select("query_id", F.col("score").alias("least"))
     raised = shared_folder(spark, "search-queries")
     spark.read.parquet(at).drop("least").join(least, "query_id", "left").write.parquet(raised)
-    return _ranked(docs, raised, k, mean_length)
+    return _ranked(docs, raised, terms, starts, k, mean_length)
 
 
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from skein.llm import search
@@ -76,3 +77,20 @@ def test_blocks_that_no_query_of_a_tile_needs():
             counts = {i: sum(1 for v in t.tolist() if shard.terms[v].as_py().decode() in docs[i].split()) for _, i in got}
             assert all(counts.values())
             assert shard.search([(t, w, least)], 5) == [got]  # alone, blocks of the other kind are needed by none
+
+
+def test_blocks_and_numbers_without_gaps(tmp_path):
+    rng = random.Random(3)
+    docs = [" ".join(rng.choices([f"{kind}{i}" for i in range(40)], k=rng.randint(1, 30))) for kind in "abc" for _ in range(150)]
+    shard = search.Shard.of(np.arange(450), pa.array(docs, pa.large_string()), 12.0)
+    assert shard.edges[0] == 0 and shard.edges[-1] == 450 and (np.diff(shard.edges) > 0).all()
+    assert search._edges(np.array([5000, 0, 3])).tolist() == [0, 1000, 2000, 3000, 4000, 5000, 5003]
+    # the queries' terms lie in several files, numbered from each file's start
+    asked = [*sorted({w for d in docs for w in d.split()}), "nowhere"]
+    for part, names in enumerate((asked[:50], asked[50:])):
+        cols = {"term": pa.array([w.encode() for w in names]), "weight": pa.array([float(part * 50 + i) for i in range(len(names))]), "at": pa.array([(part << 33) + i for i in range(len(names))])}
+        pq.write_table(pa.table(cols), f"{tmp_path}/part-{part}.parquet", row_group_size=7)
+    vocabulary = search.Vocabulary(f"file://{tmp_path}", [0, 50, len(asked)])
+    assert vocabulary.weights.tolist() == list(range(len(asked)))
+    assert [shard.terms[i].as_py().decode() for i in vocabulary.places(shard)[:-1].tolist()] == asked[:-1]
+    assert vocabulary.places(shard)[-1] == -1
