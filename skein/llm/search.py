@@ -20,7 +20,8 @@ unopened terms reach the threshold are completed from their own lists of terms,
 most promising ones first. The threshold is the k-th best score known: it rises as
 documents are completed and is carried over to a task's next shards. A first round
 over every SEED_SHARE-th document (by a hash of its id) gives the threshold to begin
-with.
+with; where k documents have a query's very text, its score for itself is one too.
+Queries with the same terms are searched once.
 
 A query's terms count once each. Scores are rounded to 6 decimals; ties go by
 ascending id. Texts are cut into lower-case runs of letters and digits. Null and
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settled, shared_folder, ship, table, width
@@ -421,16 +422,26 @@ def term_statistics(docs: DataFrame) -> DataFrame:
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term): the distinct terms of each query text."""
+    """(query_id, term, times, words): the distinct terms of each query text, how often it has each, and its number of words."""
 
     def run(batches):
         for batch in batches:
             for part, texts in chunks(batch, "text"):
                 text, code, terms = terms_of(texts)
-                pair = np.unique(text * max(len(terms), 1) + code)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(pair // max(len(terms), 1))), terms.take(pa.array(pair % max(len(terms), 1)))], ["query_id", "term"])
+                pair, times = np.unique(text * max(len(terms), 1) + code, return_counts=True)
+                text, code = pair // max(len(terms), 1), pair % max(len(terms), 1)
+                words = np.bincount(text, times, len(texts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), terms.take(pa.array(code)), pa.array(times.astype(np.int64)), pa.array(words[text])], ["query_id", "term", "times", "words"])
 
-    return queries.mapInArrow(run, "query_id bigint, term binary")
+    return queries.mapInArrow(run, "query_id bigint, term binary, times bigint, words bigint")
+
+
+def copied(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id) of those queries whose text at least k documents have, so that their k-th best score is no less than what the text scores for itself."""
+    text = F.sha2("text", 256).alias("text")
+    often = docs.where("doc_id is not null").select(text).groupBy("text").count().where(F.col("count") >= k)
+    once = queries.select("query_id", text).groupBy("query_id").agg(F.min("text").alias("text"), F.count("*").alias("rows")).where("rows = 1")
+    return once.join(often, "text", "left_semi").select("query_id")
 
 
 RESULT = "block int, query_id array<bigint>, doc_id array<bigint>, score array<double>"
@@ -507,7 +518,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    wanted = settled(query_terms(queries.select(F.col("query_id").cast("long"), F.col("text").cast("string").alias("text")).where("query_id is not null")), "query-terms")
+    queries = settled(queries.select(F.col("query_id").cast("long"), F.col("text").cast("string").alias("text")).where("query_id is not null"), "query-texts")
+    wanted = settled(query_terms(queries), "query-terms")
     known = settled(term_statistics(docs.where("doc_id is not null")), "term-statistics")
     total = known.where("term is null").first()
     n, mean_length = (total.n, max(total.words / total.n, 1e-9)) if total else (0, 1.0)
@@ -523,18 +535,26 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     starts = np.cumsum([0] + [sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]).tolist()
     code = F.element_at(F.array(*map(F.lit, starts)), (F.shiftright("at", 33) + 1).cast("int")) + F.col("at").bitwiseAND((1 << 33) - 1)
     # one row a query, whose size is that of its text; the lightest terms come first
-    one = F.array_sort(F.collect_list(F.struct("weight", code.cast("int").alias("code"))))
-    plain = wanted.join(asked, "term").groupBy("query_id").agg(one.alias("x")).select("query_id", F.col("x.code").alias("codes"))
+    one = F.array_sort(F.collect_set(F.struct("weight", code.cast("int").alias("code"))))
+    own = F.sum(F.col("weight") * F.col("times") * (K1 + 1) / (F.col("times") + K1 * (1 - B + B * F.col("words") / mean_length)))
+    plain = wanted.join(asked, "term").groupBy("query_id").agg(one.alias("x"), own.alias("own")).select("query_id", F.col("x.code").alias("codes"), "own")
+    held = copied(docs, queries, k).withColumn("held", F.lit(True))
+    least = F.when(F.col("held"), F.greatest(F.lit(0.0), F.col("own") - SLACK)).otherwise(0.0)
+    plain = settled(plain.join(held, "query_id", "left").select("query_id", "codes", least.alias("least")), "search-queries")
+    # queries with the same terms are searched once
+    alike = plain.select("query_id", F.min("query_id").over(Window.partitionBy("codes")).alias("first"))
     at = shared_folder(spark, "search-queries")
-    plain.withColumn("least", F.lit(0.0)).write.parquet(at)
+    plain.groupBy("codes").agg(F.min("query_id").alias("query_id"), F.max("least").alias("least")).write.parquet(at)
 
     # the first round: every SEED_SHARE-th document
     seed = docs.where(f"doc_id is not null and pmod(xxhash64(doc_id), {SEED_SHARE}) = 0")
     seeds = settled(seed.repartition(-(-4 * n // SEED_SHARE // SHARD_DOCS) or 1), "search-seed")
     least = _ranked(seeds, at, terms, starts, k, mean_length).where(f"rank = {k}").select("query_id", F.col("score").alias("least"))
     raised = shared_folder(spark, "search-queries")
-    spark.read.parquet(at).drop("least").join(least, "query_id", "left").write.parquet(raised)
-    return _ranked(docs, raised, terms, starts, k, mean_length)
+    known = spark.read.parquet(at).withColumnRenamed("least", "own").join(least, "query_id", "left")
+    known.select("query_id", "codes", F.greatest("own", F.coalesce("least", F.lit(0.0))).alias("least")).write.parquet(raised)
+    found = _ranked(docs, raised, terms, starts, k, mean_length).withColumnRenamed("query_id", "first")
+    return found.join(alike, "first").select("query_id", "rank", "doc_id", "score")
 
 
 def op6_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,24 @@ def test_blocks_and_numbers_without_gaps(tmp_path):
     assert vocabulary.weights.tolist() == list(range(len(asked)))
     assert [shard.terms[i].as_py().decode() for i in vocabulary.places(shard)[:-1].tolist()] == asked[:-1]
     assert vocabulary.places(shard)[-1] == -1
+
+
+def test_copies_give_thresholds(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(3, 20))) for _ in range(60)]
+    docs = [(i, texts[i % 60]) for i in range(60 * 4)] + [(300, texts[1] + " " + " ".join(words)), (301, texts[0].upper()), (None, texts[5]), (310, None), (7, texts[9])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    # one id with two texts, two ids with the same terms, one that is found nowhere
+    queries = [(i, texts[i]) for i in range(8)] + [(20, " ".join(reversed(texts[2].split()))), (21, texts[3] + " nowhere"), (22, texts[4]), (22, texts[6])]
+    q = spark.createDataFrame(queries, "query_id long, text string")
+    assert {r.query_id for r in search.copied(df, q, 4).collect()} == {*range(8)}
+    assert {r.query_id for r in search.copied(df, q, 5).collect()} == set()
+    files, ranked = [], search._ranked
+    monkeypatch.setattr(search, "_ranked", lambda docs, folder, *rest: files.append(folder) or ranked(docs, folder, *rest))
+    got = sorted(map(tuple, search.top_k(df, q, 4).collect()))
+    close(got, brute(docs, [*queries[:10], (22, texts[4] + " " + texts[6])], 4))
+    for at in files:  # thresholds stand before the first round, too; query 20 goes with 2
+        least = {r.query_id: r.least for r in spark.read.parquet(at).collect()}
+        own = {a: s for a, _, d, s in got if a == d}
+        assert 20 not in least and all(0 < own[i] - least[i] < 1e-4 or least[i] >= own[i] for i in range(8) if i in own)
